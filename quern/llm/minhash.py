@@ -116,7 +116,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, threshold: float = 0.5, bands: int = 32, rows: int = 5, shingle: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, threshold: float = 0.5, bands: int = 40, rows: int = 4, shingle: int = 3, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept_id): every document that has near copies of a lower id, with the least id of its group.
 
     A group is a component of the graph that joins two documents when they share a band of their circulant MinHash
