@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, quality, toxicity
 from .shared import table
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality.good_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op7_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}

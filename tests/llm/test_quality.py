@@ -1,0 +1,71 @@
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from quern.llm import quality
+
+
+def plain(trees, row):
+    """A row's score by walking each tree in turn."""
+    total = trees.base
+    for node in trees.roots:
+        while trees.left[node] != node:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        total += trees.value[node]
+    return total
+
+
+def test_flat_arrays_score_as_the_trees_do_and_are_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 4))
+    y = ((x[:, 0] - x[:, 1] + 0.5 * np.sin(3 * x[:, 2]) + rng.normal(size=800) * 0.5) > 0).astype(float)
+    signs = np.array([1, -1, 0, 0])
+    trees = quality.fit(x, y, signs, trees=25, depth=3)
+    assert np.allclose(trees.raw(x[:50]), [plain(trees, r) for r in x[:50]])
+    assert ((trees.probability(x) > 0.5) == (y > 0)).mean() > 0.85
+    for j in (0, 1):
+        grid = np.repeat(x[:40], 30, 0)
+        grid[:, j] = np.tile(np.linspace(-3, 3, 30), 40)
+        steps = np.diff(trees.raw(grid).reshape(40, 30), axis=1) * signs[j]
+        assert (steps >= -1e-9).all()
+
+
+def test_statistics_by_hand():
+    names = {k: i for i, k in enumerate(quality.NAMES)}
+    x = quality.statistics(pa.array(["One two.\nONE two.\nx #1 !", None, "", " \n ", "a b c d e a b c d e", "é" * 200000]))
+    assert x[0, names["log_words"]] == np.log1p(7)
+    assert x[0, names["repeated_lines"]] == 1 / 3
+    assert x[0, names["distinct_words"]] == 5 / 7
+    assert x[0, names["capitals"]] == 4 / 13
+    assert x[0, names["ended_lines"]] == 1
+    assert x[0, names["wordless"]] == 2 / 7
+    assert not x[1:4].any()
+    assert x[4, names["repeated_runs"]] == 1 / 6
+    assert x[5, names["log_longest"]] == np.log1p(400000)
+
+
+def test_held_out_accuracy_and_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels, rows=200)
+    got = quality.score(docs, model)
+    assert got.count() == docs.count()
+    seen = labels.where("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).select("doc_id")
+    held = got.join(labels.join(seen, "doc_id", "left_anti"), "doc_id").select("keep", "quality").collect()
+    assert len(held) > 150
+    assert sum(r.keep == (r.quality == 1) for r in held) > 0.97 * len(held)
+    kept = quality.keep_good(docs, labels, rows=200)
+    assert kept.columns == docs.columns
+    assert kept.count() == got.where("keep").count()
+
+
+def test_edge_cases(spark):
+    rows = [(1, None, 1), (2, "", 1), (3, "good words here", 1), (3, "good words here", 1), (None, "no id but words", 2), (4, "w " * 100000, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumn("keep", F.lit("mine"))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = sorted((str(r.doc_id), r.keep) for r in quality.score(docs, quality.train(docs, none)).collect())
+    assert got == [("1", False), ("2", False), ("3", True), ("3", True), ("4", True), ("None", True)]
+    one = spark.createDataFrame([(3, 1, 0), (None, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, one) is None
+    assert quality.keep_good(docs, none).count() == 4
+    assert quality.good_documents(docs.where("false"), none).collect() == []
