@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, quality, toxicity
+from . import lines, minhash, mixing, quality, toxicity
 from .shared import table
 
 
@@ -18,5 +18,13 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op7_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_line_dedup(spark, sf_dir):
+    return lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count=True)
+
+
+def op10_mix_to_weights(spark, sf_dir):
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
