@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, quality, toxicity
+from . import lines, minhash, mixing, quality, toxicity, vectors, warc
 from .shared import table
 
 
+def op1_warc_transactions(spark, sf_dir):
+    return warc.flat(warc.assemble(warc.records_of_pages(table(spark, sf_dir, "pages"))))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality.good_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -14,6 +18,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op10_mix_to_weights(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_toxicity, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
+ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": warc.SQL, "op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
