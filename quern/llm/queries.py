@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, quality, toxicity, vectors, warc
-from .shared import table
+from . import lines, minhash, mixing, packing, quality, tokens, toxicity, vectors, warc
+from .shared import Scratch, table
 
 
 def op1_warc_transactions(spark, sf_dir):
@@ -22,6 +22,16 @@ def op4_embedding_near_dedup(spark, sf_dir):
     return vectors.near_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_orc(spark, sf_dir):
+    where = Scratch(spark, "tokens").path("orc")
+    tokens.write_orc(table(spark, sf_dir, "documents"), where)
+    return tokens.read_orc(spark, where)
+
+
+def op6_vector_packing(spark, sf_dir):
+    return packing.packed(packing.examples_of_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -34,5 +44,5 @@ def op10_mix_to_weights(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op5_token_orc, op6_vector_packing, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": warc.SQL, "op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
