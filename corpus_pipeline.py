@@ -1,15 +1,57 @@
-"""Pipeline over documents: filled in as its stages' operators are finished."""
+"""A corpus pipeline over documents: quality rules, line dedup, near-dedup, mixing to weights, packing.
 
-from quern.llm import minhash
+Each stage takes (spark, docs, sf_dir) and gets the rows that the one before it left, read again from Parquet; all but
+the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def near_copies(spark, docs, sf_dir):
+from quern.llm import lines, minhash, mixing, packing, quality
+from quern.llm.shared import Scratch, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the boosted trees reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Lines that an earlier document has go; documents of nothing else go with them."""
+    return lines.drop_repeated_lines(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of near copies stays."""
     return minhash.drop_near_copies(docs)
 
 
-STAGES = [("minhash_near_dedup", near_copies)]
+def mix_to_weights(spark, docs, sf_dir):
+    """Documents that are served within the budget stay."""
+    return mixing.mixed(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """A row for each piece of a document: its bin and its place in it."""
+    placed = packing.packed(packing.examples_of_documents(docs), limits=(2048, 16, 2048))
+    return placed.withColumnRenamed("example_id", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("mix_to_weights", mix_to_weights),
+    ("vector_packing", pack),
+]
+
+#: Trees, near copies and greedy packing have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return near_copies(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    """The result of the last stage over the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

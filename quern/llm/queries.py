@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality, tokens, toxicity, vectors, warc
+from . import lines, minhash, mixing, packing, quality, tokens, toxicity, vectors, warc, wrappers
 from .shared import Scratch, table
 
 
@@ -40,9 +40,13 @@ def op8_line_dedup(spark, sf_dir):
     return lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count=True)
 
 
+def op9_html_wrappers(spark, sf_dir):
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mix_to_weights(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op5_token_orc, op6_vector_packing, op7_minhash_near_dedup, op8_line_dedup, op10_mix_to_weights)}
+QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op5_token_orc, op6_vector_packing, op7_minhash_near_dedup, op8_line_dedup, op9_html_wrappers, op10_mix_to_weights)}
 ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": warc.SQL, "op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
