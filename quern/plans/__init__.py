@@ -1,24 +1,11 @@
 """Registered queries: name -> callable(spark, sf_dir), with the SQL that states the same result."""
 
-from __future__ import annotations
-
-_QUERIES: dict = {}
-_SQL: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
+from . import base, documents, messages, scores, tokens  # noqa: F401
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(base._QUERIES)
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    return dict(base._SQL)

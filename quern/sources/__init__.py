@@ -1 +1,138 @@
+"""Readers: each has a schema of its own, and none of them infers one."""
 
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MESSAGE_LOG = "`Chat Session` string, `Message Date` string, Type string, `Sender Name` string, Text string"
+WEB = "text string, metadata struct<token_count:long, labels:struct<language_score:double>>"
+INSTRUCTIONS = "messages array<struct<role:string, content:string>>"
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    """Adds row_ord: rows in order of file and place in it."""
+    return df.withColumn("row_ord", F.monotonically_increasing_id())
+
+
+def message_log(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV log with quoted fields that may span lines."""
+    return _ordered(spark.read.schema(MESSAGE_LOG).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False).csv(path))
+
+
+def labelled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The text before the first tab of each line; quotes mean nothing."""
+    return _ordered(spark.read.text(path).select(F.split_part("value", F.lit("\t"), F.lit(1)).alias("text")))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """JSON lines; with a field only that one, so the reader parses no other."""
+    df = spark.read.schema(schema).json(path)
+    return df.select(field) if field else df
+
+
+def web_shards(spark: SparkSession, path: str, limit_shards: int | None = None) -> DataFrame:
+    """Parquet shards with the file's name as `shard`; limit_shards keeps the first by name, by leaving files out, not rows."""
+    df = spark.read.parquet(path)
+    if limit_shards is not None:
+        files = sorted(df.inputFiles())[:limit_shards]
+        if not files:
+            raise FileNotFoundError(path)
+        df = spark.read.schema(df.schema).parquet(*files)
+    return df.withColumn("shard", F.col("_metadata.file_name"))
+
+
+def instructions(spark: SparkSession, *paths: str) -> DataFrame:
+    """Only the messages column of one or more Parquet tables."""
+    return spark.read.parquet(*paths).select("messages")
+
+
+def _arrow_batches(path: str):
+    import pyarrow.ipc as ipc
+
+    try:
+        with ipc.open_file(path) as f:
+            yield from (f.get_batch(k) for k in range(f.num_record_batches))
+    except Exception:  # written as a stream instead
+        with ipc.open_stream(path) as f:
+            yield from f
+
+
+def arrow_files(spark: SparkSession, files: list[str], schema: str) -> DataFrame:
+    """Arrow IPC files, each read by one task in order of their names; they must be where every executor sees them."""
+    wanted = T._parse_datatype_string(schema).fieldNames() if not isinstance(schema, T.StructType) else schema.fieldNames()
+    names = spark.createDataFrame([(f,) for f in sorted(files)], "path string").repartition(max(1, len(files)))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for part in _arrow_batches(path):
+                    table = pa.Table.from_batches([part]).select(wanted)
+                    yield from table.to_batches()
+
+    return names.mapInArrow(read, schema)
+
+
+def token_stream(spark: SparkSession, path: str, mask: str | None = None) -> DataFrame:
+    """(pos, token[, scored]) of a file of 16-bit little-endian ids, with a file of one byte flags beside it. The two must have the same number of tokens."""
+
+    def decode(file: str, width: int, name: str) -> DataFrame:
+        # Fixed-width records, so one large file is cut between tasks.
+        records = spark.sparkContext.binaryRecords(file, width).zipWithIndex().map(lambda r: (r[1], int.from_bytes(r[0], "little")))
+        return spark.createDataFrame(records, f"pos long, {name} int")
+
+    tokens = decode(path, 2, "token")
+    if not mask:
+        return tokens
+    flags = decode(mask, 1, "flag")
+    if tokens.count() != flags.count():
+        raise ValueError("the mask has not as many flags as the stream has tokens")
+    return tokens.join(flags, "pos").select("pos", "token", (F.col("flag") != 0).alias("scored"))
+
+
+def fingerprint(path: str) -> str:
+    return hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+
+
+def fingerprint_of(c: Column) -> Column:
+    return F.substring(F.sha2(c, 256), 1, 16)
+
+
+def checked_meta(path: str, tokenizer_fingerprint: str) -> dict:
+    """A pack's metadata; an error if it was made with another tokenizer."""
+    meta = json.loads(Path(path).read_text())
+    if meta.get("tokenizer_fingerprint") != tokenizer_fingerprint:
+        raise ValueError(f"{path} was packed with tokenizer {meta.get('tokenizer_fingerprint')}, not {tokenizer_fingerprint}")
+    return meta
+
+
+class Registry:
+    """Builders by name; an unknown name is an error that lists those there are."""
+
+    def __init__(self, what: str):
+        self.what, self.known = what, {}
+
+    def add(self, name: str) -> Callable:
+        def take(f):
+            self.known[name] = f
+            return f
+
+        return take
+
+    def __getitem__(self, name: str) -> Callable:
+        if name not in self.known:
+            raise KeyError(f"unknown {self.what} {name!r}; known: {', '.join(sorted(self.known))}")
+        return self.known[name]
+
+
+READERS = Registry("source")
+for _f in (message_log, labelled_lines, json_lines, web_shards, instructions, arrow_files, token_stream):
+    READERS.add(_f.__name__)(_f)

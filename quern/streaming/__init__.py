@@ -1 +1,62 @@
+"""The sequence operators over streams."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def sessions(messages: DataFrame, gap: str = "6 hours", late: str = "0 seconds") -> DataFrame:
+    """(chat, started, ended, n): closed sessions of a stream of (chat, ts, ...), ts a timestamp with a zone.
+
+    A session is given out once the watermark is past its last message and the gap; rows that come after are dropped.
+    """
+    grouped = messages.withWatermark("ts", late).groupBy("chat", F.session_window("ts", gap).alias("w"))
+    return grouped.agg(F.count("*").alias("n"), F.min("ts").alias("started"), F.max("ts").alias("ended")).select("chat", "started", "ended", "n")
+
+
+def first_of_each(rows: DataFrame, text: str, time: str, late: str) -> DataFrame:
+    """The first row of each text to arrive, as long as the watermark allows for."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([text])
+
+
+def log_windows(rows: DataFrame, every: int) -> DataFrame:
+    """(window_no, n, loss): means over windows of `every` steps, steps from 1."""
+    return rows.groupBy(F.floor((F.col("step") - 1) / every).alias("window_no")).agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+
+
+def improved(rows: DataFrame) -> DataFrame:
+    """(run, step, value, improved) of (run, step, value): whether a value is below all that its run has had before, kept as state."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        best = state.get[0] if state.exists else float("inf")
+        part = pd.concat(list(batches)).sort_values("step")
+        flags = []
+        for v in part["value"]:
+            flags.append(bool(v < best))
+            best = min(best, v) if v == v else best
+        state.update((best,))
+        yield part.assign(improved=flags)[["run", "step", "value", "improved"]]
+
+    return rows.groupBy("run").applyInPandasWithState(step, "run string, step long, value double, improved boolean", "best double", "append", "NoTimeout")
+
+
+def chunks(turns: DataFrame, max_turns: int = 30, max_chars: int = 2000) -> DataFrame:
+    """(chat, turn_no, chunk_no) of (chat, turn_no, n_chars): the greedy chunk rule with the open chunk kept as state."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        chunk, size, chars = state.get if state.exists else (0, 0, 0)
+        part = pd.concat(list(batches)).sort_values("turn_no")
+        out = []
+        for n in part["n_chars"]:
+            if size and (size >= max_turns or chars + n > max_chars):
+                chunk, size, chars = chunk + 1, 0, 0
+            size, chars = size + 1, chars + int(n)
+            out.append(chunk)
+        state.update((chunk, size, chars))
+        yield part.assign(chunk_no=out)[["chat", "turn_no", "chunk_no"]]
+
+    return turns.groupBy("chat").applyInPandasWithState(step, "chat string, turn_no long, chunk_no long", "chunk long, size long, chars long", "append", "NoTimeout")
