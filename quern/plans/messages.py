@@ -141,3 +141,11 @@ def conv_render_roles(spark, sf_dir):
 def conv_loss_mask(spark, sf_dir):
     t = ins.masked_tokens(ins.usable_turns(table(spark, sf_dir, "conversations")))
     return t.select("conv_id", F.size("tokens").cast("long").alias("n_tokens"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_scored"), F.array_join(F.transform("mask", lambda x: x.cast("string")), "").alias("mask"))
+
+
+@register("conv_owner_filter", f"WITH RECURSIVE {C}, t AS (SELECT chat, session_no, chunk_no, string_agg('<|turn|>' || CASE speaker WHEN 'purchase' THEN 'ME' ELSE speaker END || ': ' || text || '<|end|>', '' ORDER BY run_no) AS body FROM c GROUP BY chat, session_no, chunk_no) SELECT chat, session_no, chunk_no FROM t WHERE contains(body, '<|turn|>ME:')")
+def conv_owner_filter(spark, sf_dir):
+    from ..operators.evaluate import has_owner_turn
+
+    runs = msg.runs(msg.sessions(log(spark, sf_dir))).withColumn("speaker", F.when(F.col("speaker") == "purchase", "ME").otherwise(F.col("speaker")))
+    return msg.conversations(msg.chunks(runs)).where(has_owner_turn(F.col("text"))).select("chat", "session_no", "chunk_no")

@@ -176,3 +176,19 @@ def eval_cadence(spark, sf_dir):
 def flops_budget(spark, sf_dir):
     v = spark.createDataFrame([(512, 8, 42_000_000, 5700), (768, 12, 110_000_000, 9500)], "width int, layers int, params long, steps int")
     return v.select("width", "layers", mt.flops_per_token(F.col("params"), F.col("layers"), F.col("width"), F.lit(1024).cast("long")).alias("flops_per_token"), mt.gated_width(F.col("width")).alias("gated"), (F.lit(131072).cast("long") * F.col("steps")).alias("tokens_seen"))
+
+
+@register("logit_last_real", f"WITH {X}, r AS (SELECT vec_id, pos, logit FROM x WHERE logit > 0) SELECT vec_id, arg_max(logit, pos) AS logit FROM r GROUP BY vec_id")
+def logit_last_real(spark, sf_dir):
+    from ..operators.evaluate import last_real
+
+    return last_real(_long(spark, sf_dir), "vec_id", "pos", "logit", "logit > 0")
+
+
+@register("metric_rank_loss", "WITH t AS (SELECT event_id // 500 AS step, round(sum(value) / greatest(count(*), 1), 6) AS val_loss FROM events GROUP BY 1), b AS (SELECT *, min(val_loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM t) SELECT step, val_loss, best IS NULL OR val_loss < best AS improved FROM b")
+def metric_rank_loss(spark, sf_dir):
+    """Sums of each rank first, then over ranks."""
+    from ..operators.evaluate import loss_of_ranks
+
+    e = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 500).alias("step"), F.col("event_type").alias("rank"))
+    return loss_of_ranks(e.agg(F.sum("value").alias("loss_sum"), F.count("*").alias("n"))).withColumn("val_loss", F.round("val_loss", 6))

@@ -168,3 +168,10 @@ def tok_owner_mask(spark, sf_dir):
     runs = msg.runs(msg.sessions(log(spark, sf_dir))).withColumn("speaker", F.when(F.col("speaker") == "purchase", "ME").otherwise(F.col("speaker")))
     text = msg.conversations(msg.chunks(runs)).select("chat", "session_no", "chunk_no", tk.encode_with_offsets(F.col("text")).alias("e"), tk.owner_spans(F.col("text")).alias("spans"))
     return text.select("chat", "session_no", "chunk_no", F.col("e.ids").alias("ids"), tk.within(F.col("spans"), F.col("e")).alias("mask"))
+
+
+@register("pack_text_shift", f"WITH d AS (SELECT doc_id, list_transform({words_sql('text')}, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR) AS w FROM documents) SELECT doc_id, md5(array_to_string(list_concat(['1'], w), ',')) AS inputs, md5(array_to_string(list_concat(w, ['2']), ',')) AS labels FROM d")
+def pack_text_shift(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("ids"))
+    inputs, labels = ins.shifted(F.col("ids"), 1, 2)
+    return d.select("doc_id", _join(inputs).alias("inputs"), _join(labels).alias("labels"))
