@@ -60,3 +60,9 @@ def one_row_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     fallback = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     order = Window.partitionBy(F.col(id_col), fallback).orderBy(F.xxhash64("text"))
     return docs.withColumn("__q_row", F.row_number().over(order)).where("__q_row = 1").drop("__q_row")
+
+
+def sent_whole_if_small(df: DataFrame, size: Column, limit: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if the sum of `size`, the bytes of a row, is within limit; else as it is, so that a join moves both sides. df should be a saved table, as it's read once more for the sum."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, sent_whole_if_small
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'\s>]+)""", re.I)
@@ -275,10 +275,13 @@ def extract(pages: DataFrame, group: int = 64) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "wrappers")
     wrappers = infer(pages, scratch, group)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), "html")
+    wrappers = sent_whole_if_small(wrappers, F.length("wrapper") + F.length("host"))
     found = own.join(wrappers, "host").select("page_id", "host", "html", "wrapper").mapInArrow(_extract, f"page_id long, host string, fields {FIELDS}")
     found = scratch.save(found, "fields")
     slot = found.select("host", F.xxhash64("fields").alias("page"), F.explode("fields").alias("f")).select("host", "page", "f.slot", F.xxhash64("f.text").alias("h"), F.length("f.text").alias("n"))
     same = slot.groupBy("host", "slot").agg(F.min("page").alias("one"), F.max("page").alias("two"), F.min(F.struct("h", "n")).alias("low"), F.max(F.struct("h", "n")).alias("high"))
     same = same.where("one <> two and low = high and slot >= 0").groupBy("host").agg(F.collect_set("slot").alias("fixed"))
+    # A host's few numbers go to the texts, as long as all of them are small, not the texts to the numbers.
+    same = sent_whole_if_small(scratch.save(same, "fixed"), F.length("host") + 4 * F.size("fixed") + 16)
     kept = F.when(F.col("fixed").isNull(), F.col("fields")).otherwise(F.filter("fields", lambda x: ~F.array_contains("fixed", x["slot"])))
     return found.join(same, "host", "left").withColumn("fields", kept).select("page_id", "host", "fields", F.array_join(F.transform("fields", lambda x: x["text"]), "\n").alias("text"))
