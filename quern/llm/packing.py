@@ -100,7 +100,9 @@ def packed(examples: DataFrame, limits=LIMITS, group: int = GROUP) -> DataFrame:
         slot = pd.Series(at).groupby(at).cumcount().astype("int32")
         return pd.DataFrame({"example_id": table.example_id.astype("Int64"), "piece": table.piece, "n_tokens": table.n_tokens, "n_loss": table.n_loss, "bin_id": [f"{table.grp[0]}-{b}" for b in at], "slot": slot})
 
-    return pieces_.groupBy("grp").applyInPandas(place, "example_id long, piece int, n_tokens long, n_loss long, bin_id string, slot int")
+    # A number of partitions of its own: rows are few bytes but much work, so merging small partitions would leave it to one task.
+    parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16))
+    return pieces_.repartition(parts, "grp").groupBy("grp").applyInPandas(place, "example_id long, piece int, n_tokens long, n_loss long, bin_id string, slot int")
 
 
 def examples_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
