@@ -79,3 +79,17 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         out = f(spark, empty, sf_dir)
         assert out.collect() == []
         empty = empty if k == len(cp.STAGES) - 1 else out.where("false")
+
+
+def test_odd_rows_go_through_every_stage(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "no id here but words enough to stay around", "en", None, 5), (900001, None, None, "src1", None), (900002, "", "en", "src1", 0), (900003, "word " * 60000, "en", "src1", 300000)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.limit(5)).withColumns({"h": F.lit(1), "label": F.lit("x"), "weight": F.lit(2), "score": F.lit("y"), "keep": F.lit(0)})
+    scratch = Scratch(spark, "odd")
+    for name, f in cp.STAGES:
+        out = scratch.save(f(spark, docs, sf_dir), name)
+        assert name == "vector_packing" or out.columns == docs.columns
+        assert out.count() > 0
+        docs = out
