@@ -15,13 +15,18 @@ PAYLOAD = ["target_uri", "date", "content_type", "block"]
 
 
 def _named(records: DataFrame) -> DataFrame:
-    """Records with an id each and no other columns; of rows that repeat an id, the one of least hash."""
+    """Records with an id each, without other columns, and with hashes of the whole row to choose by among those of one id."""
     columns = [F.col(c).cast("string").alias(c) for c in ("type", *PAYLOAD)]
     own = records.select(F.col("record_id").cast("string").alias("record_id"), *columns, F.col("concurrent_to"))
     whole = F.sha2(F.to_json(F.struct("type", *PAYLOAD, "concurrent_to")), 256)
-    own = own.withColumn("record_id", F.coalesce("record_id", F.concat(F.lit("#"), whole)))
-    first = Window.partitionBy("record_id").orderBy(F.xxhash64("type", *PAYLOAD), whole)
-    return own.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn")
+    # As columns, so that a plan which doesn't need the blocks doesn't carry them to its sort.
+    ties = [F.xxhash64(F.lit(k), "type", *PAYLOAD).alias(f"tie{k}") for k in (1, 2)]
+    return own.select(F.coalesce("record_id", F.concat(F.lit("#"), whole)).alias("record_id"), "type", *PAYLOAD, "concurrent_to", *ties)
+
+
+def _one_each(named: DataFrame) -> DataFrame:
+    first = Window.partitionBy("record_id").orderBy("tie1", "tie2")
+    return named.withColumn("turn", F.row_number().over(first)).where("turn = 1")
 
 
 def captures_of(records: DataFrame, scratch: Scratch) -> DataFrame:
@@ -69,7 +74,8 @@ def assemble(records: DataFrame) -> DataFrame:
     columns aren't read. `response` is the anchor record, null for records that reach none; the arrays hold structs
     in order of record id, empty if there is none. target_uri and date are the response's, else the least among the
     other records. Null or empty blocks and links stay as they are; a record without an id gets one from its content;
-    rows that repeat an id are one record.
+    rows that
+    repeat an id are one record with the links of all of them, an anchor if one of them is.
 
     Links are resolved on ids alone; a response's block is moved once, to the requests and metadata that found it.
     """
@@ -78,9 +84,10 @@ def assemble(records: DataFrame) -> DataFrame:
     capture = captures_of(own, scratch)
     anchor = F.coalesce(F.col("type").isin(ANCHORS), F.lit(False))
     record = F.struct("record_id", "type", *PAYLOAD)
-    rest = own.where(~anchor).join(capture, "record_id")
+    # Each side is cut out before its ids are made unique, so a block is moved with its own side only.
+    rest = _one_each(own.where(~anchor)).join(capture, "record_id")
     held = rest.groupBy("capture_id").agg(F.array_sort(F.collect_list(record)).alias("held"), F.min("target_uri").alias("uri"), F.min("date").alias("at"))
-    heads = own.where(anchor).select(F.col("record_id").alias("head_id"), record.alias("response"))
+    heads = _one_each(own.where(anchor)).select(F.col("record_id").alias("head_id"), record.alias("response"))
     both = heads.join(held, F.col("head_id") == F.col("capture_id"), "full_outer")
     held_all = F.coalesce("held", F.array().cast(held.schema["held"].dataType))
 
