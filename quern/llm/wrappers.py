@@ -205,8 +205,15 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, "(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
 
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: trees of Python objects are many times larger than their pages."""
     for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         shapes = [json.dumps(bare(parse(h or "")), separators=(",", ":")) for h in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), pa.array(shapes, pa.string())], names=["host", "shape"])
 
@@ -251,7 +258,7 @@ _FIELDS = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string())]))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         out = []
         for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             slots: dict[int, list[str]] = {}
