@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, words_count
+from .shared import Scratch
 from .tokens import TOKENIZER, encode
 
 LIMITS = (4096, 32, 2048)
@@ -120,6 +120,15 @@ def examples_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -
     return counted.groupBy("conv_id").agg(turns.alias("t")).select(F.col("conv_id").alias("example_id"), F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["scored"].alias("scored"))).alias("turns"))
 
 
-def examples_of_documents(docs: DataFrame) -> DataFrame:
-    """An example for each document: one turn, all of whose words bear loss."""
-    return docs.select(F.col("doc_id").alias("example_id"), F.array(F.struct(words_count(F.col("text")).alias("n"), F.lit(True).alias("scored"))).alias("turns"))
+def examples_of_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """An example for each document: one turn, all of whose tokens bear loss. A null or empty text has no tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                n = [len(x) for x in encode([t or "" for t in part.column(1).to_pylist()], path)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["example_id", "n"])
+
+    counted = docs.select(F.col("doc_id").cast("long").alias("example_id"), "text").mapInArrow(run, "example_id long, n long")
+    return counted.select("example_id", F.array(F.struct("n", F.lit(True).alias("scored"))).alias("turns"))

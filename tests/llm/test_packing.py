@@ -72,3 +72,22 @@ def test_edge_cases(spark):
     assert packing.packed(packing.examples_of_conversations(conv.where("false"))).collect() == []
     docs = spark.createDataFrame([(1, "a b c"), (2, None), (2, "d"), (2, "d")], "doc_id long, text string")
     assert sorted((r.example_id, r.n_tokens, r.n_loss) for r in packing.packed(packing.examples_of_documents(docs)).collect()) == [(1, 3, 3), (2, 1, 1), (2, 1, 1)]
+
+
+def test_documents_are_packed_by_their_real_tokens(spark, sf_dir):
+    import corpus_pipeline as cp
+    from quern.llm.tokens import TOKENIZER, encode
+
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null").select("doc_id", "text").limit(80)
+    texts = {r.doc_id: r.text or "" for r in own.collect()} | {900001: "没有空格的文字" * 900, 900002: "Donaudampfschifffahrtsgesellschaft " * 400, 900003: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    real = {i: encode([t], TOKENIZER)[0] for i, t in texts.items()}
+    rows = cp.pack(spark, docs, sf_dir).collect()
+    at, bins = dict.fromkeys(real, 0), {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        held = real[r.doc_id][at[r.doc_id] : at[r.doc_id] + r.n_tokens]
+        assert len(held) == r.n_tokens == r.n_loss
+        at[r.doc_id] += r.n_tokens
+        bins[r.bin_id] = bins.get(r.bin_id, 0) + len(held)
+    assert at == {i: len(x) for i, x in real.items()}
+    assert max(bins.values()) <= 2048 and len(bins) < 1.35 * max(sum(at.values()) / 2048, len(rows) / 16) + 5
