@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 SHORT, STEM, WIDTH = 4, 6, 16
+#: Longer words, and those with a byte from OTHER on (characters from U+0400 on), aren't reduced to their beginnings.
+LONG, OTHER = 24, 0xD0
 WINDOW, STEP, BLOCK = 12, 9, 16
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32768, 8192, 6
 COMMON = 256
@@ -33,18 +35,39 @@ class Model:
     block: float
 
 
-def symbols(w: tb.Words) -> np.ndarray:
-    """A word as WIDTH bytes, without punctuation at its edges and with ASCII letters in lower case: half of them depend on its first SHORT bytes and half on its first STEM. A dictionary then matches whole beginnings of words, and not a chance part of them."""
+def _inner(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words start and end without punctuation at their edges."""
     start, end = w.start.copy(), w.end.copy()
     for _ in range(4):
         end -= (end - start > 1) & _EDGE[w.data[end - 1]]
         start += (end - start > 1) & _EDGE[w.data[start]]
-    short, stem = (tb.span_hashes(w.data, start, np.minimum(end, start + n)) for n in (SHORT, STEM))
+    return start, end
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    short, stem = (tb.span_hashes(data, start, np.minimum(end, start + n)) for n in (SHORT, STEM))
     return np.stack([short, tb.mix(stem + np.uint64(7))], 1)
 
 
+def symbols(w: tb.Words) -> np.ndarray:
+    """A word as WIDTH bytes, without punctuation at its edges and with ASCII letters in lower case: half of them depend on its first SHORT bytes and half on its first STEM. A dictionary then matches whole beginnings of words, and not a chance part of them."""
+    return _hashed(w.data, *_inner(w))
+
+
+def every_symbol(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the words, and the index of each text's first. A word of characters below U+0400 has the one of its beginning, so that its endings don't count; a longer word than LONG bytes, such as text without blanks, and one with other characters have one more for each next STEM bytes, apart from those of beginnings."""
+    start, end = _inner(w)
+    other = np.concatenate([[0], np.cumsum(w.data >= OTHER)])
+    whole = (end - start > LONG) | (other[end] > other[start])
+    n = np.where(whole, np.maximum(1, -(-(end - start) // STEM)), 1)
+    before = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(before[-1]) - np.repeat(before[:-1], n)
+    found = _hashed(w.data, np.repeat(start, n) + STEM * place, np.repeat(end, n))
+    return np.where((place > 0)[:, None], tb.mix(found + np.uint64(11)), found), before[w.first]
+
+
 def windows(text_symbols: np.ndarray) -> list[bytes]:
-    """Windows of WINDOW words, each STEP words after the one before; together they hold every word. A text without words has none."""
+    """Windows of WINDOW symbols, each STEP symbols after the one before; together they hold every symbol. A text without words has none."""
     raw, n = text_symbols.tobytes(), len(text_symbols)
     return [raw[WIDTH * i : WIDTH * (i + WINDOW)] for i in range(0, max(1, n - WINDOW + STEP), STEP)] if n else []
 
@@ -81,9 +104,9 @@ def scores(gain: np.ndarray) -> tuple[float, float]:
 
 def _text_windows(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     for w in tb.words(texts):
-        found = symbols(w)
+        found, first = every_symbol(w)
         for i, row in enumerate(w.rows):
-            yield int(row), windows(found[w.first[i] : w.first[i + 1]])
+            yield int(row), windows(found[first[i] : first[i + 1]])
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -162,7 +185,8 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, n_windows, gain, densest_gain, toxic): one row for each row of docs.
 
-    Every window of the whole text counts. A null or empty text has no window, no gain and isn't toxic; so is every
+    Every window of the whole text counts, and every byte of words longer than LONG bytes or with characters from U+0400 on; of other words
+    the first STEM bytes count. A null or empty text has no window, no gain and isn't toxic; so is every
     text where there is no model. Rows that repeat are each scored; a null id stays null; other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -65,3 +65,12 @@ def test_edge_cases(spark):
     assert toxicity.train(docs, labels.where("toxic = 0")) is None
     assert toxicity.train(docs, labels.where("false")) is None
     assert toxicity.toxic_documents(odd, labels.where("false")).collect() == []
+
+
+def test_every_byte_of_text_without_blanks_is_in_a_symbol():
+    run = "".join(chr(0x4E00 + 7 * i) for i in range(600))
+    texts = [run, run[:2] + "x" * 3 + run[3:], "\u0441\u043b\u043e\u0432\u0430\u0440\u044c", "a\u00a0" * 40 + "end", "worthless " * 3, ""]
+    found = {i: b"".join(x) for i, x in toxicity._text_windows(pa.array(texts))}
+    kinds = [{found[i][k : k + toxicity.WIDTH] for k in range(0, len(found[i]), toxicity.WIDTH)} for i in range(len(texts))]
+    assert [len(k) for k in kinds] == [300, 300, 3, 3, 1, 0]
+    assert len(kinds[0] ^ kinds[1]) == 2
