@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
-SHORT, STEM, WIDTH = 4, 6, 16
-#: Longer words, and those with a byte from OTHER on (characters from U+0400 on), aren't reduced to their beginnings.
-LONG, OTHER = 24, 0xD0
+#: Characters of a word's first two beginnings; with the whole word they are its three parts of PART bytes each.
+SHORT, STEM, PART = 4, 6, 8
+WIDTH = 3 * PART
+#: Longer words are cut into pieces of STEM characters, and those of scripts that are written without blanks into pieces of PAIR.
+LONG, PAIR = 24, 2
 WINDOW, STEP, BLOCK = 12, 9, 16
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32768, 8192, 6
+#: Sizes tried for each dictionary, as shares of the room that the different symbols of its samples take, and their least.
+SHARES, LEAST, LEVEL = (1 / 160, 1 / 80, 1 / 40), 8192, 6
 COMMON = 256
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]{}|*#$%&<>")] = True
@@ -36,34 +39,42 @@ class Model:
 
 
 def _inner(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words start and end without punctuation at their edges."""
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(4):
-        end -= (end - start > 1) & _EDGE[w.data[end - 1]]
-        start += (end - start > 1) & _EDGE[w.data[start]]
-    return start, end
+    """Where the words start and end without punctuation at their edges; of a word of nothing else the first mark stays."""
+    solid = np.append(np.flatnonzero(~_EDGE[w.data]), len(w.data))
+    start = solid[np.searchsorted(solid, w.start)]
+    end = solid[np.maximum(np.searchsorted(solid, w.end) - 1, 0)] + 1
+    bare = start >= w.end
+    return np.where(bare, w.start, start), np.where(bare, w.start + 1, end)
 
 
-def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    short, stem = (tb.span_hashes(data, start, np.minimum(end, start + n)) for n in (SHORT, STEM))
-    return np.stack([short, tb.mix(stem + np.uint64(7))], 1)
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Bytes that begin a character of a script written without blanks: Thai, Lao, Burmese, Khmer, and all from U+3000 to U+FFFF."""
+    after = np.append(data[1:], 0) if len(data) else data
+    south = (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB) | (data == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    return south | (data >= 0xE3) & (data <= 0xEF)
 
 
-def symbols(w: tb.Words) -> np.ndarray:
-    """A word as WIDTH bytes, without punctuation at its edges and with ASCII letters in lower case: half of them depend on its first SHORT bytes and half on its first STEM. A dictionary then matches whole beginnings of words, and not a chance part of them."""
-    return _hashed(w.data, *_inner(w))
-
-
-def every_symbol(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of the words, and the index of each text's first. A word of characters below U+0400 has the one of its beginning, so that its endings don't count; a longer word than LONG bytes, such as text without blanks, and one with other characters have one more for each next STEM bytes, apart from those of beginnings."""
+def _pieces(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of the words start and end, as numbers of characters, the place of each character, and the index of each text's first piece. Most words are one piece."""
     start, end = _inner(w)
-    other = np.concatenate([[0], np.cumsum(w.data >= OTHER)])
-    whole = (end - start > LONG) | (other[end] > other[start])
-    n = np.where(whole, np.maximum(1, -(-(end - start) // STEM)), 1)
+    opens = (w.data & 0xC0) != 0x80
+    place = np.append(np.flatnonzero(opens), len(w.data))
+    number = np.concatenate([[0], np.cumsum(opens)])
+    a, b = number[start], number[end]
+    unspaced = np.concatenate([[0], np.cumsum(_unspaced(w.data))])
+    size = np.where(unspaced[end] > unspaced[start], PAIR, np.where(b - a > LONG, STEM, LONG))
+    n = np.maximum(1, -(-(b - a) // size))
     before = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(before[-1]) - np.repeat(before[:-1], n)
-    found = _hashed(w.data, np.repeat(start, n) + STEM * place, np.repeat(end, n))
-    return np.where((place > 0)[:, None], tb.mix(found + np.uint64(11)), found), before[w.first]
+    size, last = np.repeat(size, n), np.repeat(b, n)
+    first = np.repeat(a, n) + size * (np.arange(before[-1]) - np.repeat(before[:-1], n))
+    return first, np.minimum(last, first + size), place, before[w.first]
+
+
+def symbols(w: tb.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the texts' words and the index of each text's first. A symbol is WIDTH bytes: PART that depend on the word's first SHORT characters, PART on its first STEM and PART on all of it, without punctuation at its edges and with ASCII letters in lower case. A dictionary then matches whole beginnings of words, or whole words, and not a chance part of them."""
+    first, last, place, index = _pieces(w)
+    parts = [tb.span_hashes(w.data, place[first], place[np.minimum(last, first + n) if n else last]) for n in (SHORT, STEM, 0)]
+    return np.stack([tb.mix(x + np.uint64(7 * k)) for k, x in enumerate(parts)], 1), index
 
 
 def windows(text_symbols: np.ndarray) -> list[bytes]:
@@ -104,24 +115,65 @@ def scores(gain: np.ndarray) -> tuple[float, float]:
 
 def _text_windows(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     for w in tb.words(texts):
-        found, first = every_symbol(w)
+        found, first = symbols(w)
         for i, row in enumerate(w.rows):
             yield int(row), windows(found[first[i] : first[i + 1]])
 
 
+def _room(samples: list[bytes]) -> int:
+    """Bytes that the different symbols of the samples take."""
+    return WIDTH * len({x[i : i + WIDTH] for x in samples for i in range(0, len(x), WIDTH)})
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary of at most `size` bytes, and of no more than four times the room of the samples' different symbols."""
-    samples = [x for x in samples if x]
-    kinds = {x[i : i + WIDTH] for x in samples for i in range(0, len(x), WIDTH)}
-    size = min(size, 4 * WIDTH * len(kinds) + 256)
+    """A dictionary of about `size` bytes, trained on the samples; where they are too few to choose from, all of their symbols."""
     try:
-        return zstandard.train_dictionary(size, samples, k=WIDTH, d=WIDTH // 2, dict_id=1).as_bytes()
-    except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
-        return b"".join(sorted(kinds))[-size:]
+        return zstandard.train_dictionary(size, samples, k=WIDTH, d=PART, dict_id=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sorted({x[i : i + WIDTH] for x in samples for i in range(0, len(x), WIDTH)}))
+
+
+def _sizes(samples: list[bytes]) -> list[int]:
+    room = _room(samples)
+    return sorted({min(max(LEAST, int(share * room)), 4 * room + 256) for share in SHARES})
+
+
+def _calibrated(ordinary: bytes, toxic: bytes, held: dict[int, list[list[bytes]]]) -> tuple[float, Model]:
+    """The model of two dictionaries with thresholds from the held documents of either class, and its F0.5 on these."""
+    pair = _compressors(Model(ordinary, toxic, 0, 0))
+    found = {kind: np.array([scores(gains(d, pair)) for d in held[kind] if d]).reshape(-1, 2) for kind in (0, 1)}
+    best = (-1.0, 0.0)
+    for t in np.unique(found[1][:, 0]):
+        hit, false = (found[1][:, 0] >= t).sum(), (found[0][:, 0] >= t).sum()
+        # A tie goes to the higher threshold.
+        best = max(best, (1.25 * hit / (hit + false + 0.25 * len(found[1])), float(t)))
+    # Half way to the next lower score, so that the threshold doesn't sit on one document's.
+    lower = np.concatenate([found[1][:, 0], found[0][:, 0]])
+    lower = lower[lower < best[1]]
+    mean = max((best[1] + float(lower.max())) / 2 if len(lower) else best[1], 1e-6)
+    block = max(float(np.quantile(found[0][:, 1], 0.995)) if len(found[0]) else 0.0, 2 * mean)
+    return best[0], Model(ordinary, toxic, mean, block + 1e-9)
+
+
+def fit(trained: dict[int, list[list[bytes]]], held: dict[int, list[list[bytes]]]) -> Model | None:
+    """The model of the windows of toxic (1) and ordinary (0) documents: of the dictionaries of each pair of sizes, those with the best F0.5 on the held documents, of equals the smaller."""
+    common = list(dict.fromkeys(x for d in trained[0] for x in d))
+    known = set(common)
+    own = [x for x in dict.fromkeys(x for d in trained[1] for x in d) if x not in known]
+    if not own or not common:
+        return None
+    toxic = [_dictionary(own, size) for size in _sizes(own)]
+    best: tuple[float, Model] | None = None
+    for size in _sizes(common):
+        ordinary = _with_common(_dictionary(common, size), common)
+        for one in toxic:
+            found = _calibrated(ordinary, one, held)
+            best = found if best is None or found[0] > best[0] + 1e-9 else best
+    return best[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_rows: int = 3000) -> Model | None:
-    """Fits on a bounded sample of labelled documents, at most toxic_rows and ordinary_rows of them, those of least id hash. Three quarters train the dictionaries; the rest sets the thresholds: the mean's has the best F0.5, the block's lies above 99.5 % of ordinary documents and above the mean's. None if one of the classes is missing."""
+    """Fits on a bounded sample of labelled documents, at most toxic_rows and ordinary_rows of them, those of least id hash. Three quarters train the dictionaries; the rest chooses their sizes and sets the thresholds: the mean's has the best F0.5, the block's lies above 99.5 % of ordinary documents and above the mean's. A class of fewer than four documents has none to hold back, so all of its documents train and set the thresholds too. None if one of the classes is missing."""
     label = labels.select(F.col("doc_id").cast("long").alias("id"), "toxic").where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = label.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(label.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
@@ -141,25 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, ordinary_r
         seen[kind] += 1
     if not sides[1, 0] or not sides[0, 0]:
         return None
-    common = dict.fromkeys(x for d in sides[0, 0] for x in d)
-    own = [x for x in dict.fromkeys(x for d in sides[1, 0] for x in d) if x not in common]
-    if not own or not common:
-        return None
-    ordinary = _with_common(_dictionary(list(common), ORDINARY_BYTES), list(common))
-    model = Model(ordinary, _dictionary(own, TOXIC_BYTES), 0, 0)
-    pair = _compressors(model)
-    held = {kind: np.array([scores(gains(d, pair)) for d in sides[kind, 1] or sides[kind, 0] if d]).reshape(-1, 2) for kind in (0, 1)}
-    best = (-1.0, 0.0)
-    for t in np.unique(held[1][:, 0]):
-        hit, false = (held[1][:, 0] >= t).sum(), (held[0][:, 0] >= t).sum()
-        # A tie goes to the higher threshold.
-        best = max(best, (1.25 * hit / (hit + false + 0.25 * len(held[1])), float(t)))
-    # Half way to the next lower score, so that the threshold doesn't sit on one document's.
-    lower = np.concatenate([held[1][:, 0], held[0][:, 0]])
-    lower = lower[lower < best[1]]
-    mean = max((best[1] + float(lower.max())) / 2 if len(lower) else best[1], 1e-6)
-    block = max(float(np.quantile(held[0][:, 1], 0.995)) if len(held[0]) else 0.0, 2 * mean)
-    return Model(model.ordinary, model.toxic, mean, block + 1e-9)
+    return fit({k: sides[k, 0] for k in (0, 1)}, {k: sides[k, 1] or sides[k, 0] for k in (0, 1)})
 
 
 @lru_cache(2)
@@ -185,8 +219,7 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, n_windows, gain, densest_gain, toxic): one row for each row of docs.
 
-    Every window of the whole text counts, and every byte of words longer than LONG bytes or with characters from U+0400 on; of other words
-    the first STEM bytes count. A null or empty text has no window, no gain and isn't toxic; so is every
+    Every window of the whole text counts, and every byte of every word. A null or empty text has no window, no gain and isn't toxic; so is every
     text where there is no model. Rows that repeat are each scored; a null id stays null; other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -49,10 +49,20 @@ def test_windows_hold_every_word_and_scores_agree_with_a_loop():
     assert np.allclose(toxicity.scores(gain), (gain.mean(), want))
 
 
-def test_symbols_ignore_case_edges_and_endings():
-    (w,) = tb.words(pa.array(["(Worthless), worthlessly WORTHL worth ?"]))
-    s = [x.tobytes() for x in toxicity.symbols(w)]
-    assert s[0] == s[1] == s[2] != s[3]
+def parts(text):
+    (w,) = tb.words(pa.array([text]))
+    return [tuple(x[k : k + 1].tobytes() for k in range(3)) for x in toxicity.symbols(w)[0]]
+
+
+def test_symbols_have_two_beginnings_and_the_whole_word():
+    a, b, c, d, e, f = parts("(Worthless), worthlessly WORTHL worthless!!!!!!! worth ?")
+    assert a == d and a[:2] == b[:2] == c[:2] and len({a[2], b[2], c[2]}) == 3
+    assert e[0] == a[0] and e[1] != a[1]
+    x, y = parts("internal internet")
+    assert x[:2] == y[:2] and x[2] != y[2]
+    x, y = parts("\u0645\u062f\u0631\u0633\u0629 \u0645\u062f\u0631\u0633")
+    assert x[0] == y[0] and x[1] != y[1] and x[2] != y[2]
+    assert parts("!!! bad!!!!!")[1:] == parts("bad") and len(parts("!!!")) == 1
 
 
 def test_edge_cases(spark):
@@ -67,10 +77,18 @@ def test_edge_cases(spark):
     assert toxicity.toxic_documents(odd, labels.where("false")).collect() == []
 
 
-def test_every_byte_of_text_without_blanks_is_in_a_symbol():
+def test_every_character_of_text_without_blanks_is_in_a_symbol():
     run = "".join(chr(0x4E00 + 7 * i) for i in range(600))
-    texts = [run, run[:2] + "x" * 3 + run[3:], "\u0441\u043b\u043e\u0432\u0430\u0440\u044c", "a\u00a0" * 40 + "end", "worthless " * 3, ""]
-    found = {i: b"".join(x) for i, x in toxicity._text_windows(pa.array(texts))}
-    kinds = [{found[i][k : k + toxicity.WIDTH] for k in range(0, len(found[i]), toxicity.WIDTH)} for i in range(len(texts))]
-    assert [len(k) for k in kinds] == [300, 300, 3, 3, 1, 0]
-    assert len(kinds[0] ^ kinds[1]) == 2
+    long = "a\u00a0" * 40 + "end"
+    assert [len(parts(t)) for t in (run, long, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "\u0441\u043b\u043e\u0432\u0430\u0440\u044c", "worthless")] == [300, 14, 3, 1, 1]
+    for text in (run, long, "internationalisation", "\u0441\u043b\u043e\u0432\u0430\u0440\u044c"):
+        for i in range(0, len(text), 7):
+            other = text[:i] + "z" + text[i + 1 :]
+            assert sum(x != y for x, y in zip(parts(text), parts(other))) == 1
+
+
+def test_dictionaries_grow_with_their_samples():
+    few, many = ([f"{i:024d}".encode() for i in range(n)] for n in (50, 100_000))
+    assert toxicity._sizes(few)[-1] <= 4 * toxicity._room(few) + 256
+    assert toxicity._sizes(many) == [int(toxicity._room(many) * s) for s in toxicity.SHARES]
+    assert toxicity._dictionary(few[:2], 300) == b"".join(few[:2])
