@@ -67,54 +67,66 @@ class Runs:
         self.levels = []
 
 
+def _sum(parts: list[Column]) -> Column:
+    """Their sum, halved again and again, so that the expression isn't deep."""
+    if len(parts) < 2:
+        return parts[0] if parts else F.lit(0)
+    return _sum(parts[: len(parts) // 2]) + _sum(parts[len(parts) // 2 :])
+
+
 def _key(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, batches: int, min_chars: int, fanout: int) -> DataFrame:
+#: What is taken off a line's ends before it is compared.
+ENDS = " \t\r\x0b\x0c\u00a0"
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, batches: int | None, min_chars: int, fanout: int, batch_docs: int) -> DataFrame:
     """(id, key, at): for each document the positions of its lines that are to go; documents without one have no row."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
+    batches = batches or max(4, -(-slim.count() // batch_docs))
     # The batches are ranges of ids in order, so it doesn't matter where they are cut.
     share = [k / batches for k in range(1, batches)]
-    cuts = sorted({*(slim.agg(F.percentile_approx("id", share, 1000).alias("c")).first().c or []), LAST}) if share else [LAST]
-    batch = F.lit(0)
-    for cut in cuts[:-1]:
-        batch = batch + (F.col("id") > cut).cast("int")
-    lines = slim.select("id", _key(F.col("text")).alias("key"), batch.alias("batch"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
+    cuts = sorted({*(slim.agg(F.percentile_approx("id", share, 10 * batches + 1000).alias("c")).first().c or []), LAST}) if share else [LAST]
+    batch = _sum([(F.col("id") > cut).cast("int") for cut in cuts[:-1]])
+    lines = slim.select("id", _key(F.col("text")).alias("key"), batch.alias("batch"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.btrim("line", F.lit(ENDS))).where(F.length("line") >= max(1, min_chars))
     lines.select("id", "key", "batch", "no", F.unhex(F.md5("line")).alias("h")).write.partitionBy("batch").parquet(scratch.path("lines"))
     schema = "id long, key long, no int, h binary, batch int"
     saved = spark.read.schema(schema).parquet(scratch.path("lines"))
     runs = Runs(scratch, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    lost = []
-    for k in range(len(cuts)):
-        part = saved.where(F.col("batch") == k)
-        heads = part.groupBy("h").agg(F.min(F.struct("id", "key", "no")).alias("win"))
-        name = runs.add(heads)
-        # Read by path, not as a bucketed table: AQE can then split a hot line's rows.
-        new = spark.read.schema(heads.schema).parquet(scratch.path(name))
-        gone = part.join(new, "h", "left").where(F.col("win").isNull() | (F.struct("id", "key", "no") != F.col("win")))
-        lost.append(scratch.save(gone.select("id", "key", "no"), f"lost-{k}"))
-        runs.compact()
-    runs.drop()
+    try:
+        for k in range(len(cuts)):
+            part = saved.where(F.col("batch") == k)
+            heads = part.groupBy("h").agg(F.min(F.struct("id", "key", "no")).alias("win"))
+            name = runs.add(heads)
+            # Read by path, not as a bucketed table: AQE can then split a hot line's rows.
+            new = spark.read.schema(heads.schema).parquet(scratch.path(name))
+            gone = part.join(new, "h", "left").where(F.col("win").isNull() | (F.struct("id", "key", "no") != F.col("win")))
+            gone.select("id", "key", "no").write.parquet(scratch.path(f"lost/batch={k}"))
+            runs.compact()
+    finally:
+        runs.drop()
     scratch.drop("lines")
-    all_lost = lost[0]
-    for more in lost[1:]:
-        all_lost = all_lost.unionByName(more)
-    return all_lost.groupBy("id", "key").agg(F.collect_set("no").alias("at"))
+    lost = spark.read.schema("id long, key long, no int, batch int").parquet(scratch.path("lost"))
+    return lost.groupBy("id", "key").agg(F.collect_set("no").alias("at"))
 
 
-def drop_repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = 20, fanout: int = 2, count: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, batches: int | None = None, min_chars: int = 1, fanout: int = 2, count: bool = False, batch_docs: int = 50_000_000) -> DataFrame:
     """docs with only the first occurrence of each line, first by (doc_id, line number), over the whole corpus.
 
-    Lines are parted by line feeds and compared without blanks at their ends, by their whole MD5. Lines of fewer than
-    min_chars characters always stay. A document that lost lines and has nothing but blanks left goes; any other stays,
+    Lines are parted by line feeds and compared without the blanks, tabs and carriage returns at their ends, by their
+    whole MD5, whatever their length; blank lines, and those of fewer than min_chars characters if that is set, always
+    stay. A document that lost lines and has nothing but blanks left goes; any other stays,
     with the remaining lines in order and n_chars, if there is such a column, as their length. A null text stays null
     and an empty one empty. Documents without an id come last. Rows with the same id and text are one document:
-    they all keep the same lines. `count` adds a column n_dropped.
+    they all keep the same lines; of rows with one id and different texts the one of least text hash comes first.
+    `count` adds a column n_dropped. Without `batches` there are as many as hold batch_docs documents each, 4 at
+    least, so what a batch moves doesn't grow with the corpus.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = repeated_lines(docs, scratch, batches, min_chars, fanout)
+    gone = repeated_lines(docs, scratch, batches, min_chars, fanout, batch_docs)
     gone = gone.select(F.col("id").alias("__q_id"), F.col("key").alias("__q_key"), F.col("at").alias("__q_at"))
     keyed = docs.withColumns({"__q_own": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__q_text": _key(F.col("text"))})
     both = keyed.join(gone, (F.col("__q_own") == F.col("__q_id")) & (F.col("__q_text") == F.col("__q_key")), "left")
@@ -123,7 +135,7 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = 20,
     # Split once a row, not once a line.
     left = F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda x: F.array_join(F.transform(x["s"], lambda i: F.get(x["l"], i)), "\n"))[0]
     both = both.withColumn("text", F.when(F.col("__q_at").isNull(), F.col("text")).otherwise(left))
-    both = both.where(F.col("__q_at").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    both = both.where(F.col("__q_at").isNull() | (F.btrim("text", F.lit(ENDS + "\n")) != ""))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         both = both.withColumn("n_chars", F.when(F.col("__q_at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
@@ -131,16 +143,17 @@ def drop_repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = 20,
     return both.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
-def sql(min_chars: int = 20) -> str:
+def sql(min_chars: int = 1) -> str:
+    ends = "' ' || chr(9) || chr(13) || chr(11) || chr(12) || chr(160)"
     return f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
   FROM documents WHERE text IS NOT NULL
 ), ranked AS (
-  SELECT *, length(trim(line)) >= {min_chars} AND row_number() OVER (PARTITION BY trim(line) ORDER BY doc_id, no) > 1 AS gone FROM lines
+  SELECT *, length(trim(line, {ends})) >= {max(1, min_chars)} AND row_number() OVER (PARTITION BY trim(line, {ends}) ORDER BY doc_id, no) > 1 AS gone FROM lines
 ), rebuilt AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone) AS text, count(*) FILTER (gone) AS n_dropped FROM ranked GROUP BY doc_id
 )
 SELECT d.doc_id, CASE WHEN r.n_dropped > 0 THEN r.text ELSE d.text END AS text, coalesce(r.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN rebuilt r USING (doc_id)
-WHERE coalesce(r.n_dropped, 0) = 0 OR trim(translate(coalesce(r.text, ''), chr(10) || chr(13) || chr(9), '   ')) <> ''"""
+WHERE coalesce(r.n_dropped, 0) = 0 OR trim(coalesce(r.text, ''), {ends} || chr(10)) <> ''"""
