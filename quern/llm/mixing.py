@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import WORDS_SQL, Scratch, words_count
+from .tokens import TOKENIZER, counted
 
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 
@@ -23,12 +24,13 @@ def shuffle_key(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = 1.0, share: float = 0.6, seed: int = 1, bucket_rows: int = 50_000, scratch: Scratch | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = 1.0, share: float = 0.6, seed: int = 1, bucket_rows: int = 50_000, tokenizer: str | None = TOKENIZER, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, source, key, n_tokens, finish, served): the kept documents, range-sorted by virtual finish time.
 
     A source's documents stand in shuffled order. The finish time of a document is the sum of its source's tokens
-    (words) up to it and with it, over the source's weight; served is the sum of tokens in order of (finish, source,
-    key). Documents stay while served is within `share` of all tokens of sources with a weight above 0; the first
+    up to it and with it, over the source's weight; served is the sum of tokens in order of (finish, source,
+    key), so equal finish times are ordered by source and key. Tokens are those of the whole text by the file
+    `tokenizer`; None counts words instead. Documents stay while served is within `share` of all tokens of sources with a weight above 0; the first
     that would exceed it ends the mix. Sources that aren't named have the weight `other`; a null source counts as ''.
     Rows with the same source, id and text are one unit with the sum of their tokens; a null or empty text has none.
 
@@ -37,8 +39,9 @@ def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), words_count(F.col("text")).alias("n"), shuffle_key(seed).alias("key"))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), shuffle_key(seed).alias("key"), "text")
     units = units.withColumn("weight", _weight(F.col("source"), weights, other)).where("weight > 0")
+    units = counted(units, tokenizer) if tokenizer else units.withColumn("n", words_count(F.col("text"))).drop("text")
     units = scratch.save(units.groupBy("source", "key", "weight").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens")), "units")
     size = units.agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")).first()
     digits = 1
@@ -63,7 +66,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that schedule() keeps, all columns as they were. A source's kept documents are the first of its shuffled order, so the last kept key of each source tells which rows stay, and no text is moved."""
+    """The rows of docs that schedule() keeps, all columns as they were; nulls, ties, repeated rows and empty tables are as there. A source's kept documents are the first of its shuffled order, so the last kept key of each source tells which rows stay, and no text is moved."""
     scratch = Scratch(docs.sparkSession, "mixing")
     seed = params.get("seed", 1)
     last = scratch.save(schedule(docs, scratch=scratch, **params).groupBy("source").agg(F.max("key").alias("last")), "last")
@@ -74,6 +77,7 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
 
 
 def sql(weights: dict[str, float] = WEIGHTS, other: float = 1.0, share: float = 0.6, seed: int = 1) -> str:
+    """The rows of schedule() with words for tokens; a vocabulary has no SQL form."""
     cases = " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in weights.items())
     return f"""
 WITH t AS (

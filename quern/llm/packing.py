@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
-from .tokens import TOKENIZER, encode
+from .tokens import TOKENIZER, counted, encode
 
 LIMITS = (4096, 32, 2048)
 GROUP = 4096
@@ -69,10 +69,10 @@ def cut(turns: list[tuple[int, bool]], limits=LIMITS) -> list[tuple[int, int]]:
 
 
 def packed(examples: DataFrame, limits=LIMITS, group: int = GROUP) -> DataFrame:
-    """(example_id, piece, n_tokens, n_loss, bin_id, slot): every example placed.
+    """(example_id, piece, start, n_tokens, n_loss, bin_id, slot): every example placed.
 
     examples has example_id and turns, an array of structs (n, scored). An example beyond a limit is cut into pieces
-    that follow each other; each piece is a segment. Groups of about `group` examples, by the hash of their
+    that follow each other; each piece is a segment, the n_tokens tokens from `start` on of its example. Groups of about `group` examples, by the hash of their
     id, are packed on their own, as many groups as there is data for; bin_id is text 'group-bin'. slot is the place
     in the bin, in order of example and piece. An example without tokens has no row; rows that repeat an id are each
     placed; a null id is an id of its own kind.
@@ -88,47 +88,67 @@ def packed(examples: DataFrame, limits=LIMITS, group: int = GROUP) -> DataFrame:
             out = []
             for i, (e, t) in enumerate(zip(ids, turns.to_pylist())):
                 pieces_ = cut([(x["n"] or 0, bool(x["scored"])) for x in t or [] if x], limits)
-                out += [(batch.column(0)[i].as_py(), e, k, n, loss) for k, (n, loss) in enumerate(pieces_)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["grp", "example_id", "piece", "n_tokens", "n_loss"])
+                start = 0
+                for k, (n, loss) in enumerate(pieces_):
+                    out.append((batch.column(0)[i].as_py(), e, k, start, n, loss))
+                    start += n
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["grp", "example_id", "piece", "start", "n_tokens", "n_loss"])
 
     spread = F.pmod(F.xxhash64(F.coalesce("example_id", F.lit(-1))), F.lit(groups)).cast("long")
-    pieces_ = rows.select(spread.alias("grp"), "example_id", "turns").mapInArrow(run, "grp long, example_id long, piece int, n_tokens long, n_loss long")
+    pieces_ = rows.select(spread.alias("grp"), "example_id", "turns").mapInArrow(run, "grp long, example_id long, piece int, start long, n_tokens long, n_loss long")
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["example_id", "piece", "n_tokens", "n_loss"], kind="stable", na_position="last").reset_index(drop=True)
         at = pack(np.stack([table.n_tokens, np.ones(len(table), np.int64), table.n_loss], 1), limits)
         slot = pd.Series(at).groupby(at).cumcount().astype("int32")
-        return pd.DataFrame({"example_id": table.example_id.astype("Int64"), "piece": table.piece, "n_tokens": table.n_tokens, "n_loss": table.n_loss, "bin_id": [f"{table.grp[0]}-{b}" for b in at], "slot": slot})
+        return pd.DataFrame({"example_id": table.example_id.astype("Int64"), "piece": table.piece, "start": table.start, "n_tokens": table.n_tokens, "n_loss": table.n_loss, "bin_id": [f"{table.grp[0]}-{b}" for b in at], "slot": slot})
 
     # A number of partitions of its own: rows are few bytes but much work, so merging small partitions would leave it to one task.
     parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16))
-    return pieces_.repartition(parts, "grp").groupBy("grp").applyInPandas(place, "example_id long, piece int, n_tokens long, n_loss long, bin_id string, slot int")
+    return pieces_.repartition(parts, "grp").groupBy("grp").applyInPandas(place, "example_id long, piece int, start long, n_tokens long, n_loss long, bin_id string, slot int")
 
 
-def examples_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """An example for each conversation: its turns in order with their token counts; those of the assistant bear loss."""
+def sequences(placed: DataFrame, examples: DataFrame) -> DataFrame:
+    """(bin_id, tokens, segments, loss): what a trainer reads, a row for each bin.
+
+    examples has example_id, tokens and loss, an array of as many booleans, and must have a row for each id; the pieces of
+    `placed` are cut out of it. segments has the slot of each token, so attention can be kept within a segment. Bins are
+    bounded by their limits, so a row is never large. Pieces of ids that examples lacks or of a null id are left out.
+    """
+    piece = placed.join(examples, "example_id")
+    part = lambda c: F.slice(c, F.col("start") + 1, F.col("n_tokens"))
+    cells = piece.groupBy("bin_id").agg(F.array_sort(F.collect_list(F.struct("slot", part("tokens").alias("tokens"), part("loss").alias("loss")))).alias("p"))
+    flat = lambda name: F.flatten(F.transform("p", lambda x: x[name]))
+    return cells.select("bin_id", flat("tokens").alias("tokens"), F.flatten(F.transform("p", lambda x: F.array_repeat(x["slot"], F.size(x["tokens"])))).alias("segments"), flat("loss").alias("loss"))
+
+
+def tokens_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(example_id, tokens, loss) of each conversation: its turns in order, as examples_of_conversations counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(x) for x in encode([t or "" for t in batch.column(3).to_pylist()], path)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["conv_id", "turn", "role", "n"])
+            ids = [x.tolist() for x in encode([t or "" for t in batch.column(3).to_pylist()], path)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.list_(pa.int32()))], names=["conv_id", "turn", "role", "ids"])
 
     slim = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    counted = slim.mapInArrow(run, "conv_id long, turn long, role string, n long")
+    coded = slim.mapInArrow(run, "conv_id long, turn long, role string, ids array<int>")
     scored = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "n", scored.alias("scored"))))
-    return counted.groupBy("conv_id").agg(turns.alias("t")).select(F.col("conv_id").alias("example_id"), F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["scored"].alias("scored"))).alias("turns"))
+    # In the order of examples_of_conversations: equal turns by their number of tokens, then scored ones last.
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.size("ids").alias("n"), scored.alias("scored"), "ids")))
+    held = coded.groupBy(F.col("conv_id").alias("example_id")).agg(turns.alias("t"))
+    return held.select("example_id", F.flatten(F.transform("t", lambda x: x["ids"])).alias("tokens"), F.flatten(F.transform("t", lambda x: F.array_repeat(x["scored"], F.size(x["ids"])))).alias("loss"))
 
 
-def examples_of_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """An example for each document: one turn, all of whose tokens bear loss. A null or empty text has no tokens."""
+def examples_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """An example for each conversation: its turns in order with their token counts; those of the assistant bear loss. Turns of one number are ordered by their count; a null or empty text has no tokens, a null role bears no loss, a null turn comes first, and rows without an id are one conversation."""
+    slim = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    scored = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "n", scored.alias("scored"))))
+    return counted(slim, path).groupBy("conv_id").agg(turns.alias("t")).select(F.col("conv_id").alias("example_id"), F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["scored"].alias("scored"))).alias("turns"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                n = [len(x) for x in encode([t or "" for t in part.column(1).to_pylist()], path)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=["example_id", "n"])
 
-    counted = docs.select(F.col("doc_id").cast("long").alias("example_id"), "text").mapInArrow(run, "example_id long, n long")
-    return counted.select("example_id", F.array(F.struct("n", F.lit(True).alias("scored"))).alias("turns"))
+def examples_of_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """An example for each row of docs: one turn, all of whose tokens bear loss. A null or empty text has no tokens; rows that repeat are an example each."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("example_id"), "text")
+    return counted(slim, path).select("example_id", F.array(F.struct("n", F.lit(True).alias("scored"))).alias("turns"))

@@ -49,4 +49,4 @@ def op10_mix_to_weights(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_transactions, op2_quality_rules, op3_toxicity, op4_embedding_near_dedup, op5_token_orc, op6_vector_packing, op7_minhash_near_dedup, op8_line_dedup, op9_html_wrappers, op10_mix_to_weights)}
-ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": warc.SQL, "op8_line_dedup": lines.sql(), "op10_mix_to_weights": mixing.sql()}
+ORACLE_SQL: dict[str, str] = {"op1_warc_transactions": warc.SQL, "op8_line_dedup": lines.sql()}

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,6 +66,22 @@ def tokenized(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def counted(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """rows with n, the number of tokens of the whole of their text, instead of text; 0 for a null or empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                n = [len(x) for x in encode([t or "" for t in part.column(at).to_pylist()], path)]
+                kept = [k for k in range(part.num_columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(n, pa.int64())], names=[*(part.schema.names[k] for k in kept), "n"])
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"]).add("n", "long")
+    return rows.mapInArrow(run, schema)
+
+
 def write_orc(docs: DataFrame, where: str, path: str = TOKENIZER, stripe_bytes: int = 64 << 20, index_rows: int = 1000, false_positives: float = 0.01) -> None:
     """Tokenises docs into ORC files, one for each partition, in order of doc_id inside a file.
 

@@ -74,6 +74,26 @@ def test_edge_cases(spark):
     assert sorted((r.example_id, r.n_tokens, r.n_loss) for r in packing.packed(packing.examples_of_documents(docs)).collect()) == [(1, 3, 3), (2, 1, 1), (2, 1, 1)]
 
 
+def test_sequences_hold_every_token_of_every_conversation(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    limits = (700, 4, 300)
+    placed = packing.packed(packing.examples_of_conversations(conv), limits, 40)
+    own = packing.tokens_of_conversations(conv)
+    want = {r.example_id: (r.tokens, r.loss) for r in own.collect()}
+    bins = {r.bin_id: r for r in packing.sequences(placed, own).collect()}
+    for b in bins.values():
+        assert len(b.tokens) == len(b.segments) == len(b.loss) <= limits[0] and sum(b.loss) <= limits[2] and len(set(b.segments)) <= limits[1]
+    got = {}
+    for r in placed.orderBy("example_id", "piece").collect():
+        b = bins[r.bin_id]
+        at = [k for k, s in enumerate(b.segments) if s == r.slot]
+        t, m = got.setdefault(r.example_id, ([], []))
+        assert len(t) == r.start and len(at) == r.n_tokens
+        t += [b.tokens[k] for k in at]
+        m += [b.loss[k] for k in at]
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
 def test_documents_are_packed_by_their_real_tokens(spark, sf_dir):
     import corpus_pipeline as cp
     from quern.llm.tokens import TOKENIZER, encode

@@ -1,4 +1,3 @@
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -6,8 +5,10 @@ import numpy as np
 import corpus_pipeline as cp
 from quern.llm import mixing, quality
 from quern.llm.shared import Scratch
+from quern.llm.tokens import TOKENIZER, encode
 
 from test_lines import brute as plain_lines
+from test_mixing import brute as plain_mix
 from test_minhash import brute as plain_groups
 
 
@@ -30,7 +31,7 @@ def test_each_stage_against_a_plain_version_of_it(spark, sf_dir):
     assert sum(clean) >= 0.95 * len(clean)
 
     before, after = rows["line_dedup", 0], rows["line_dedup", 1]
-    assert sorted((r.doc_id, r.text) for r in after) == sorted(plain_lines([(r.doc_id, r.text) for r in before], 20))
+    assert sorted((r.doc_id, r.text) for r in after) == sorted(plain_lines([(r.doc_id, r.text) for r in before]))
     assert all(r.n_chars == len(r.text) for r in after)
 
     before, after = rows["minhash_near_dedup", 0], rows["minhash_near_dedup", 1]
@@ -39,40 +40,18 @@ def test_each_stage_against_a_plain_version_of_it(spark, sf_dir):
     assert gone <= set(copies) and len(gone) >= 0.9 * len(copies)
 
     before, after = rows["mix_to_weights", 0], rows["mix_to_weights", 1]
-    assert {r.doc_id for r in after} == plain_mix(before)
+    assert {r.doc_id for r in after} == {r[0] for r in plain_mix([(r.doc_id, r.text, r.source) for r in before], mixing.WEIGHTS, 0.6)}
 
     before, after = rows["vector_packing", 0], rows["vector_packing", 1]
-    words = {r.doc_id: len(r.text.split()) for r in before}
+    tokens = {r.doc_id: len(encode([r.text], TOKENIZER)[0]) for r in before}
     got, bins = defaultdict(int), defaultdict(lambda: np.zeros(3, int))
     for r in after:
         got[r.doc_id] += r.n_tokens
         bins[r.bin_id] += [r.n_tokens, 1, r.n_loss]
-    assert got == {k: v for k, v in words.items() if v}
+    assert got == {k: v for k, v in tokens.items() if v}
     assert all((b <= (2048, 16, 2048)).all() for b in bins.values())
 
 
-def plain_mix(rows, share=0.6, seed=1):
-    from hashlib import md5
-
-    by = defaultdict(list)
-    for r in rows:
-        key = md5(f"{seed}:{r.doc_id}:{md5(r.text.encode()).hexdigest()}".encode()).hexdigest()
-        by[r.source].append((key, len(r.text.split()), r.doc_id))
-    timed = []
-    for source, own in by.items():
-        total = 0
-        for key, n, i in sorted(own):
-            total += n
-            timed.append((total / mixing.WEIGHTS.get(source, 1.0), source, key, n, i))
-    budget, served, kept = math.floor(share * sum(t[3] for t in timed)), 0, set()
-    for _, _, _, n, i in sorted(timed):
-        served += n
-        if served > budget:
-            break
-        kept.add(i)
-    return kept
-
-
 def test_empty_documents(spark, sf_dir, tmp_path):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for k, (_, f) in enumerate(cp.STAGES):
