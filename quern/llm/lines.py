@@ -92,7 +92,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, batches: int | None, min_c
     cuts = sorted({*(slim.agg(F.percentile_approx("id", share, 10 * batches + 1000).alias("c")).first().c or []), LAST}) if share else [LAST]
     batch = _sum([(F.col("id") > cut).cast("int") for cut in cuts[:-1]])
     lines = slim.select("id", _key(F.col("text")).alias("key"), batch.alias("batch"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.btrim("line", F.lit(ENDS))).where(F.length("line") >= max(1, min_chars))
-    lines.select("id", "key", "batch", "no", F.unhex(F.md5("line")).alias("h")).write.partitionBy("batch").parquet(scratch.path("lines"))
+    lines.select("id", "key", "batch", "no", F.unhex(F.md5("line")).alias("h")).write.option("compression", "zstd").partitionBy("batch").parquet(scratch.path("lines"))
     schema = "id long, key long, no int, h binary, batch int"
     saved = spark.read.schema(schema).parquet(scratch.path("lines"))
     runs = Runs(scratch, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
@@ -104,7 +104,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, batches: int | None, min_c
             # Read by path, not as a bucketed table: AQE can then split a hot line's rows.
             new = spark.read.schema(heads.schema).parquet(scratch.path(name))
             gone = part.join(new, "h", "left").where(F.col("win").isNull() | (F.struct("id", "key", "no") != F.col("win")))
-            gone.select("id", "key", "no").write.parquet(scratch.path(f"lost/batch={k}"))
+            gone.select("id", "key", "no").write.option("compression", "zstd").parquet(scratch.path(f"lost/batch={k}"))
             runs.compact()
     finally:
         runs.drop()

@@ -214,7 +214,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS, trees: int = 60
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 12000) -> tuple[Trees, float] | None:
-    """Trees and the least score of a kept document, from a bounded sample of labelled documents: the `rows` of least id hash. Three quarters train; on the rest the threshold makes the fewest errors, with a good document's loss counted five times. None if a class is missing."""
+    """Trees and the least score of a kept document, from a bounded sample of labelled documents: the `rows` of least id hash. Three quarters train; on the rest the threshold makes the fewest errors, with a good document's loss counted five times. With so few labels that the rest has fewer than 8, or the training part only one class, all of them train and set the threshold too. Of several labels of one id the least counts, of several texts an arbitrary one is used; null ids, labels and texts are left out. None if a class is missing."""
     label = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"))
     few = [(r.id, r.quality) for r in label.orderBy(F.xxhash64("id"), "id").limit(rows).collect()]
     if not few:
@@ -262,7 +262,8 @@ def score(docs: DataFrame, model: tuple[Trees, float] | None) -> DataFrame:
     """(doc_id, score, keep): one row for each row of docs, from statistics of the whole text.
 
     A null or empty text, or one without words, has score 0 and isn't kept; without a model every other text is kept
-    with score 1. Rows that repeat are each judged; a null id stays null; other columns aren't read.
+    with score 1. Rows that repeat are each judged, and alike; a score equal to the threshold is kept; a null id stays null;
+    an empty table stays empty; other columns aren't read.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(model), "doc_id long, score double, keep boolean")
 
@@ -273,7 +274,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, rows: int = 12000) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = 12000) -> DataFrame:
-    """docs without the rows that score() doesn't keep, all columns as they were: judged in place, so nothing is joined or shuffled."""
+    """docs without the rows that score() doesn't keep (null, empty and rejected texts), all columns as they were: judged in place, so nothing is joined or shuffled. Rows that repeat, ties and empty tables are as there."""
     from pyspark.sql import types as T
 
     model = train(docs, labels, rows)

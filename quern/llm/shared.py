@@ -21,24 +21,37 @@ def shared_root(spark: SparkSession) -> str:
     return made
 
 
+_ROOTS: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes what this driver's runs have left in the shared folder. Results are read from there as long as they are lazy, so call it once they are written."""
+    while _ROOTS:
+        _remove(spark, _ROOTS.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
-    """Parquet tables of one run in the shared folder: they cut lineage and survive the loss of executors."""
+    """Parquet tables of one run in the shared folder: they cut lineage and survive the loss of executors. Operators drop those that nothing reads any more; sweep() removes the rest."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.path(name))
 
 
 def words_count(text: Column) -> Column:
@@ -53,15 +66,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_row_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each id: of rows that repeat an id, one with the least text hash. Rows without an id all stay."""
-    from pyspark.sql.window import Window
-
-    fallback = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    order = Window.partitionBy(F.col(id_col), fallback).orderBy(F.xxhash64("text"))
-    return docs.withColumn("__q_row", F.row_number().over(order)).where("__q_row = 1").drop("__q_row")
-
-
 def sent_whole_if_small(df: DataFrame, size: Column, limit: int = 32 << 20) -> DataFrame:
     """df with a broadcast hint if the sum of `size`, the bytes of a row, is within limit; else as it is, so that a join moves both sides. df should be a saved table, as it's read once more for the sum."""
     total = df.agg(F.sum(size)).first()[0] or 0

@@ -118,3 +118,13 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
     key, row = key[fresh], row[fresh]
     return key, np.searchsorted(row, np.arange(len(counts) + 1))
+
+
+def all_shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of every text of the column: keys and where each text's begin."""
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for w in words(column):
+        key, first = shingles(w, n)
+        keys.append(key)
+        sizes.append(np.diff(first))
+    return np.concatenate(keys), np.cumsum(np.concatenate(sizes))

@@ -220,7 +220,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, n_windows, gain, densest_gain, toxic): one row for each row of docs.
 
     Every window of the whole text counts, and every byte of every word. A null or empty text has no window, no gain and isn't toxic; so is every
-    text where there is no model. Rows that repeat are each scored; a null id stays null; other columns aren't read.
+    text where there is no model. Rows that repeat are each scored, and alike; a score equal to a
+    threshold is toxic; a null id stays null; an empty table stays empty; other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
