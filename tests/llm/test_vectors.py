@@ -28,6 +28,45 @@ def test_recall_of_pairs_against_brute_force(spark):
     assert all(abs(c - cosine[p]) < 1e-5 and c >= 0.9 for p, c in got.items())
 
 
+def test_recall_of_groups_on_a_larger_table(spark):
+    """30,000 vectors with planted near copies, in lists of which one holds a third of all, searched in blocks."""
+    rng = np.random.default_rng(4)
+    n = 30_000
+    x = rng.normal(size=(n, 64))
+    x[: n // 3] = 3 * x[0] + rng.normal(size=(n // 3, 64))
+    x[n - 4000 :] = x[rng.integers(n // 3, n // 2, 4000)] + rng.normal(size=(4000, 64)) * rng.uniform(0.05, 0.45, (4000, 1))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    label = np.arange(n)
+    pairs = 0
+    for lo in range(0, n, 1000):
+        i, k = np.nonzero(x[lo : lo + 1000] @ x.T >= 0.9)
+        pairs += ((i + lo) < k).sum()
+        label = vectors.united(label, i + lo, k)
+    want = {(i, int(label[i])) for i in np.flatnonzero(label != np.arange(n))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    before = vectors.MEMBERS, vectors.QUERIES
+    vectors.MEMBERS, vectors.QUERIES = 60, 400
+    try:
+        got = {(r.vec_id, r.kept_id) for r in vectors.near_groups(df).collect()}
+    finally:
+        vectors.MEMBERS, vectors.QUERIES = before
+    assert len(want) > 3000
+    assert len(got & want) >= 0.9 * len(want) and len(got) <= len(want) / 0.9
+
+
+def test_united_labels_are_components():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        n, m = 40, int(rng.integers(0, 60))
+        i, k = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = vectors.united(vectors.united(np.arange(n), i[: m // 2], k[: m // 2]), i[m // 2 :], k[m // 2 :])
+        want = list(range(n))
+        for _ in range(n):
+            for a, b in zip(i, k):
+                want[a] = want[b] = min(want[a], want[b])
+        assert label.tolist() == want
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
