@@ -214,7 +214,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray = SIGNS, trees: int = 60
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 12000) -> tuple[Trees, float] | None:
-    """Trees and the least score of a kept document, from a bounded sample of labelled documents: the `rows` of least id hash. Three quarters train; on the rest the threshold makes the fewest errors, with a good document's loss counted five times. With so few labels that the rest has fewer than 8, or the training part only one class, all of them train and set the threshold too. Of several labels of one id the least counts, of several texts an arbitrary one is used; null ids, labels and texts are left out. None if a class is missing."""
+    """Trees and the least score of a kept document, from a bounded sample of labelled documents: the `rows` of least id hash. Three quarters train; on the rest the threshold makes the fewest errors, with a good document's loss counted five times. With so few labels that the rest has fewer than 8, or the training part only one class, all of them train and set the threshold too. Of several labels of one id the least counts, of several texts the one of least statistics; null ids, labels and texts are left out. None if a class is missing."""
     label = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").where("id is not null and quality is not null").groupBy("id").agg(F.min("quality").alias("quality"))
     few = [(r.id, r.quality) for r in label.orderBy(F.xxhash64("id"), "id").limit(rows).collect()]
     if not few:
@@ -224,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12000) -> tuple[Trees,
     found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "quality", "text").mapInArrow(_labelled, "id long, quality int, x array<double>").toPandas()
     if found.empty:
         return None
-    found = found.sort_values("id", kind="stable").drop_duplicates("id")
+    found = found.assign(order=found.x.map(tuple)).sort_values(["id", "order"], kind="stable").drop_duplicates("id")
     x, y = np.stack(found.x.to_numpy()), found.quality.to_numpy().astype(float)
     if y.min() == y.max():
         return None

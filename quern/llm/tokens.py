@@ -83,16 +83,17 @@ def counted(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 
 def write_orc(docs: DataFrame, where: str, path: str = TOKENIZER, stripe_bytes: int = 64 << 20, index_rows: int = 1000, false_positives: float = 0.01) -> None:
-    """Tokenises docs into ORC files, one for each partition, in order of doc_id inside a file.
+    """Tokenises docs into ORC files, one for each range of doc_id, in order of doc_id inside a file.
 
     Integers are run-length encoded by the format. Every index_rows rows have an index entry with the least and greatest
-    doc_id, and a Bloom filter, so a reader skips stripes and row groups from metadata. Rows aren't moved between
-    partitions: a corpus that lies in order of ids also has narrow ranges of ids in its stripes.
+    doc_id, and a Bloom filter, so a reader skips stripes and row groups from metadata. Rows are sorted by ranges first,
+    whatever order the corpus lies in, so the stripes' ranges of ids don't overlap; texts move once.
 
-    Null ids come first; null texts keep their row with null tokens; rows that repeat are all written; other columns
-    aren't; an empty table makes an empty one that reads back with the schema.
+    Null ids come first; null texts keep their row with null tokens; rows that repeat are all written, and an id with
+    very many rows is spread over files by its texts; other columns aren't written; an empty table makes an empty one
+    that reads back with the schema.
     """
-    ordered = docs.select("doc_id", "text").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     options = {
         "orc.stripe.size": stripe_bytes,
         "orc.row.index.stride": index_rows,
@@ -111,15 +112,46 @@ def read_orc(spark: SparkSession, where: str, ids: list[int] | None = None) -> D
     return df if ids is None else df.where(F.col("doc_id").isin(ids))
 
 
-def stripes(file: str) -> list[dict]:
-    """Rows of each stripe of one file, from its footer: what a reader that takes stripe k of each file needs to know."""
-    from pyarrow import orc
-
-    f = orc.ORCFile(file)
-    return [{"stripe": k, "rows": f.read_stripe(k, columns=["doc_id"]).num_rows} for k in range(f.nstripes)]
+def stripes(spark: SparkSession, where: str) -> list[dict]:
+    """(file, stripe, offset, length, rows, low, high) of each stripe of the table, low and high being its least and greatest doc_id or None where all are null. Only the files' footers are read, through Hadoop's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(where)
+    out = []
+    for status in folder.getFileSystem(conf).listStatus(folder):
+        if not status.getPath().getName().endswith(".orc"):
+            continue
+        reader = jvm.org.apache.orc.OrcFile.createReader(status.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        statistics = reader.getStripeStatistics()
+        for k, s in enumerate(reader.getStripes()):
+            id_statistics = statistics[k].getColumnStatistics()[1]
+            some = id_statistics.getNumberOfValues() > 0
+            out.append({"file": status.getPath().toString(), "stripe": k, "offset": s.getOffset(), "length": s.getLength(), "rows": s.getNumberOfRows(), "low": id_statistics.getMinimum() if some else None, "high": id_statistics.getMaximum() if some else None})
+    return sorted(out, key=lambda x: (x["file"], x["stripe"]))
 
 
 def read_stripe(file: str, k: int) -> pa.RecordBatch:
-    from pyarrow import orc
+    """One stripe, from any file system that pyarrow knows."""
+    from pyarrow import fs, orc
+
+    system, path = fs.FileSystem.from_uri(file) if "://" in file or file.startswith("file:") else (fs.LocalFileSystem(), file)
+    with system.open_input_file(path) as f:
+        return orc.ORCFile(f).read_stripe(k)
+
+
+def read_stripes(spark: SparkSession, where: str, ids: list[int] | None = None) -> DataFrame:
+    """The table that write_orc made, a task for each stripe. With ids, only stripes whose range holds one are read, and of these only such rows."""
+    chosen = stripes(spark, where)
+    if ids is not None:
+        chosen = [s for s in chosen if s["low"] is not None and any(s["low"] <= i <= s["high"] for i in ids)]
+    if not chosen:
+        return spark.createDataFrame([], SCHEMA)
 
-    return orc.ORCFile(file).read_stripe(k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from pa.Table.from_batches([read_stripe(file, k)]).select(["doc_id", "n_tokens", "tokens"]).to_batches(max_chunksize=1024)
+
+    # Records of a Python RDD are cut into as many partitions as asked for.
+    todo = spark.createDataFrame(spark.sparkContext.parallelize([(s["file"], s["stripe"]) for s in chosen], len(chosen)), "file string, stripe int")
+    df = todo.mapInArrow(run, SCHEMA)
+    return df if ids is None else df.where(F.col("doc_id").isin(ids))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,7 +75,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     records has record_id, type, target_uri, date, content_type, block and concurrent_to, an array of record ids; other
     columns aren't read. `response` is the anchor record, null for records that reach none; the arrays hold structs
-    in order of record id, empty if there is none. target_uri and date are the response's, else the least among the
+    in order of record id, empty if there is none; each record keeps its concurrent_to. target_uri and date are the response's, else the least among the
     other records. Null or empty blocks and links stay as they are; a record without an id gets one from its content;
     rows that
     repeat an id are one record with the links of all of them, an anchor if one of them is.
@@ -83,7 +86,7 @@ def assemble(records: DataFrame) -> DataFrame:
     own = _named(records)
     capture = captures_of(own, scratch)
     anchor = F.coalesce(F.col("type").isin(ANCHORS), F.lit(False))
-    record = F.struct("record_id", "type", *PAYLOAD)
+    record = F.struct("record_id", "type", *PAYLOAD, "concurrent_to")
     # Each side is cut out before its ids are made unique, so a block is moved with its own side only.
     rest = _one_each(own.where(~anchor)).join(capture, "record_id")
     held = rest.groupBy("capture_id").agg(F.array_sort(F.collect_list(record)).alias("held"), F.min("target_uri").alias("uri"), F.min("date").alias("at"))
@@ -107,8 +110,69 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
+RECORDS = "record_id string, type string, target_uri string, date string, content_type string, block binary, concurrent_to array<string>"
+
+
+def parsed(stream) -> Iterator[dict]:
+    """The records of an open, unpacked WARC stream, one after another; what follows a record that breaks off isn't read."""
+    while True:
+        line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            continue
+        fields: dict[str, list[str]] = {}
+        last = None
+        while (line := stream.readline().rstrip(b"\r\n")):
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and last:  # a folded line
+                fields[last][-1] = f"{fields[last][-1]} {text.strip()}".strip()
+                continue
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            fields.setdefault(last, []).append(value.strip())
+        one = lambda name: fields.get(name, [None])[0]
+        size = int(one("content-length") or 0)
+        block = stream.read(size)
+        if len(block) < size:
+            return
+        yield {"record_id": one("warc-record-id"), "type": one("warc-type"), "target_uri": (one("warc-target-uri") or "").strip("<>") or None, "date": one("warc-date"), "content_type": one("content-type"), "block": block, "concurrent_to": fields.get("warc-concurrent-to", [])}
+
+
+def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Records of WARC files, plain or gzip, for assemble(): each file is streamed by one task, a record at a time, from any file system that pyarrow knows."""
+    if not files:
+        return spark.createDataFrame([], RECORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+        import io
+
+        from pyarrow import fs
+
+        schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("block", pa.binary()), ("concurrent_to", pa.list_(pa.string()))])
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(file) if "://" in file or file.startswith("file:") else (fs.LocalFileSystem(), file)
+                with system.open_input_stream(path, compression=None) as raw:
+                    plain = io.BufferedReader(raw)
+                    packed = plain.peek(2)[:2] == b"\x1f\x8b"
+                    held, size = [], 0
+                    for record in parsed(io.BufferedReader(gzip.GzipFile(fileobj=plain)) if packed else plain):
+                        held.append(record)
+                        size += len(record["block"])
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_pylist(held, schema)
+                            held, size = [], 0
+                    if held:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+
+    names = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in files], len(files)), "file string")
+    return names.mapInArrow(run, RECORDS)
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Three records for each page, as a crawler would have written them: the page's bytes as the response, the request that asked for it, and metadata, which names the response for http and the request for https."""
+    """Three records for each row of pages, as a crawler would have written them: the page's bytes as the response, the request that asked for it, and metadata, which names the response for http and the request for https. A null page has an empty block and a length of null, a null URL null texts; rows that repeat an id make records that repeat theirs; a page without an id makes records without one; other columns aren't read."""
     page = pages.select(F.col("page_id").cast("string").alias("p"), "url", F.coalesce("html", F.lit("")).alias("html"))
     host, path = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
     uid = lambda kind: F.concat(F.lit(f"<urn:{kind}:"), "p", F.lit(">"))
@@ -125,7 +189,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 def flat(captures: DataFrame) -> DataFrame:
     """Captures with each nested column as JSON text, so that they can be compared with another engine's."""
     text = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
-    return captures.select("capture_id", "target_uri", "date", text("response"), text("requests"), text("metadata"), "n_records")
+    return captures.select("capture_id", "target_uri", "date", text("response"), text("requests"), text("metadata"), text("others"), "n_records")
 
 
 SQL = """
@@ -133,18 +197,18 @@ WITH p AS (
   SELECT page_id::VARCHAR AS p, url, coalesce(html, '') AS html,
     regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages
 ), records AS (
-  SELECT '<urn:response:' || p || '>' AS record_id, 'response' AS type, url AS target_uri, '2024-01-01T00:00:00Z' AS date, 'text/html' AS content_type, html AS block, NULL AS other FROM p
-  UNION ALL SELECT '<urn:request:' || p || '>', 'request', url, '2024-01-01T00:00:00Z', 'application/http', 'GET ' || path || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || host || chr(13) || chr(10) || chr(13) || chr(10), '<urn:response:' || p || '>' FROM p
-  UNION ALL SELECT '<urn:metadata:' || p || '>', 'metadata', url, '2024-01-01T00:00:00Z', 'application/warc-fields', 'length: ' || length(html), CASE WHEN url LIKE 'https:%' THEN '<urn:request:' || p || '>' ELSE '<urn:response:' || p || '>' END FROM p
+  SELECT '<urn:response:' || p || '>' AS record_id, 'response' AS type, url AS target_uri, '2024-01-01T00:00:00Z' AS date, 'text/html' AS content_type, html AS block, NULL AS other, []::VARCHAR[] AS concurrent_to FROM p
+  UNION ALL SELECT '<urn:request:' || p || '>', 'request', url, '2024-01-01T00:00:00Z', 'application/http', 'GET ' || path || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || host || chr(13) || chr(10) || chr(13) || chr(10), '<urn:response:' || p || '>', ['<urn:response:' || p || '>'] FROM p
+  UNION ALL SELECT '<urn:metadata:' || p || '>', 'metadata', url, '2024-01-01T00:00:00Z', 'application/warc-fields', 'length: ' || length(html), CASE WHEN url LIKE 'https:%' THEN '<urn:request:' || p || '>' ELSE '<urn:response:' || p || '>' END, [CASE WHEN url LIKE 'https:%' THEN '<urn:request:' || p || '>' ELSE '<urn:response:' || p || '>' END] FROM p
 ), placed AS (
   SELECT r.*, coalesce(o.other, r.other) AS capture_id FROM records r LEFT JOIN records o ON r.other = o.record_id WHERE r.type <> 'response'
 ), held AS (
   SELECT capture_id, count(*) AS n,
-    list(struct_pack(record_id := record_id, type := type, target_uri := target_uri, date := date, content_type := content_type, block := block) ORDER BY record_id) FILTER (type = 'request') AS requests,
-    list(struct_pack(record_id := record_id, type := type, target_uri := target_uri, date := date, content_type := content_type, block := block) ORDER BY record_id) FILTER (type = 'metadata') AS metadata
+    list(struct_pack(record_id := record_id, type := type, target_uri := target_uri, date := date, content_type := content_type, block := block, concurrent_to := concurrent_to) ORDER BY record_id) FILTER (type = 'request') AS requests,
+    list(struct_pack(record_id := record_id, type := type, target_uri := target_uri, date := date, content_type := content_type, block := block, concurrent_to := concurrent_to) ORDER BY record_id) FILTER (type = 'metadata') AS metadata
   FROM placed GROUP BY capture_id
 )
 SELECT h.capture_id, r.target_uri, r.date,
-  to_json(struct_pack(record_id := r.record_id, type := r.type, target_uri := r.target_uri, date := r.date, content_type := r.content_type, block := r.block))::VARCHAR AS response,
-  to_json(h.requests)::VARCHAR AS requests, to_json(h.metadata)::VARCHAR AS metadata, (h.n + 1)::BIGINT AS n_records
+  to_json(struct_pack(record_id := r.record_id, type := r.type, target_uri := r.target_uri, date := r.date, content_type := r.content_type, block := r.block, concurrent_to := r.concurrent_to))::VARCHAR AS response,
+  to_json(h.requests)::VARCHAR AS requests, to_json(h.metadata)::VARCHAR AS metadata, '[]' AS others, (h.n + 1)::BIGINT AS n_records
 FROM records r JOIN held h ON h.capture_id = r.record_id"""

@@ -57,3 +57,27 @@ def test_edge_cases(spark):
     assert found[2] == ("z", None, [], [], ["z"], 1)
     assert {r.capture_id: r.target_uri for r in got.collect()} == {"a": "t", "r": "u", "z": None}
     assert warc.assemble(given.where("false")).collect() == []
+
+
+def test_files_are_read_record_by_record(spark, tmp_path):
+    import gzip
+
+    def record(kind, name, block, *more):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <" + name + b">", b"WARC-Date: 2024-01-01T00:00:00Z", b"Content-Length: %d" % len(block), *more]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0 in a body\r\n\xff\x00" + b"x" * 3_000_000
+    records = [record(b"warcinfo", b"i", b"software: x"), record(b"response", b"r", body, b"WARC-Target-URI: http://a/"), record(b"request", b"q", b"GET /", b"WARC-Concurrent-To: <r>", b"WARC-Concurrent-To:", b"  <i>"), record(b"metadata", b"m", b"", b"WARC-Concurrent-To: <q>")]
+    plain, packed, cut = tmp_path / "a.warc", tmp_path / "b.warc.gz", tmp_path / "c.warc"
+    plain.write_bytes(b"".join(records))
+    packed.write_bytes(b"".join(gzip.compress(r) for r in records))
+    cut.write_bytes(records[0] + records[1][:2000])
+    for file in (plain, packed):
+        got = warc.read_files(spark, [str(file)]).collect()
+        assert [(r.type, r.record_id, r.concurrent_to) for r in got] == [("warcinfo", "<i>", []), ("response", "<r>", []), ("request", "<q>", ["<r>", "<i>"]), ("metadata", "<m>", ["<q>"])]
+        assert bytes(got[1].block) == body and got[1].target_uri == "http://a/"
+    assert [r.type for r in warc.read_files(spark, [cut.as_uri()]).collect()] == ["warcinfo"]
+    assert warc.read_files(spark, []).collect() == []
+    found = [r for r in warc.assemble(warc.read_files(spark, [str(packed)])).collect()]
+    assert [(r.capture_id, [x.record_id for x in r.requests], [x.record_id for x in r.metadata], r.n_records) for r in found if r.response] == [("<r>", ["<q>"], ["<m>"], 4)]
+    assert found[0].requests[0].concurrent_to == ["<r>", "<i>"]
