@@ -11,11 +11,25 @@ from pyspark.sql import types as T
 BLANK = r"\s\x0B\x1c-\x1f\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
+#: The same blanks one by one, for functions that take characters and not a class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 PHONE = rf"\+?{DIGIT}[{DIGIT}{BLANK}\-()]{{7,}}{DIGIT}"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def _replaced(c: Column, held: list[str], pattern: str, instead: str) -> Column:
+    """regexp_replace for texts that hold one of the strings: a search for a string is far cheaper than one for a pattern. The text is used several times, so it's bound to the argument of a lambda function."""
+
+    def one(x: Column) -> Column:
+        test = F.contains(x, F.lit(held[0]))
+        for h in held[1:]:
+            test = test | F.contains(x, F.lit(h))
+        return F.when(test, F.regexp_replace(x, pattern, instead)).otherwise(x)
+
+    return F.transform(F.array(c), one)[0]
 
 
 def word_array(c: Column) -> Column:
@@ -35,13 +49,17 @@ def clean_message(c: Column, mask_phones: bool = False) -> Column:
 
 def clean_document(c: Column, fold_ya: bool = False) -> Column:
     """A document without byte order marks, addresses, mentions, line ends and a trailing ellipsis. The ellipsis goes before runs of blanks are folded, so one that a blank follows stays."""
-    c = strip(F.regexp_replace(c, "﻿", ""))
-    c = F.regexp_replace(c, rf"https?://[^{BLANK}]+|www\.[^{BLANK}]+", " ")
-    c = F.regexp_replace(c, rf"@[{WORD}]+", " ")
-    c = F.regexp_replace(c, r"[\r\n]+", " ")
-    c = F.regexp_replace(c, "…+\\z", "")
+    c = strip(F.replace(c, F.lit("\ufeff"), F.lit("")))
+    steps = [
+        (["http", "www."], rf"https?://[^{BLANK}]+|www\.[^{BLANK}]+", " "),
+        (["@"], rf"@[{WORD}]+", " "),
+        (["\n", "\r"], r"[\r\n]+", " "),
+        (["\u2026"], "\u2026+\\z", ""),
+    ]
+    for step in steps:
+        c = _replaced(c, *step)
     if fold_ya:
-        c = F.translate(c, "ى", "ي")
+        c = F.translate(c, "\u0649", "\u064a")
     return strip(F.regexp_replace(c, rf"[{BLANK}]{{2,}}", " "))
 
 

@@ -1,7 +1,8 @@
-"""Sub-word encoding in Arrow batches; the tokenizer's file is a parameter, loaded once by each Python worker."""
+"""Sub-word encoding in Arrow batches; the vocabulary's file is a parameter, loaded once by each Python worker."""
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -10,48 +11,101 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-OWNER_TURN = re.compile(r"<\|turn\|>ME: (.*?)(<\|end\|>)", re.S)
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Marks of the chat template; as tokens of their own they take the ids after the vocabulary's.
+MARKS = ("<s>", "</s>", "<unk>", "<pad>", "<|conv|>", "<|turn|>", "<|end|>")
+OWNER_TURN = re.compile(r"<\|turn\|>ME:(.*?)(<\|end\|>)", re.S)
 
 
-@lru_cache(4)
-def _load(path: str):
-    from tokenizers import Tokenizer
+@lru_cache(8)
+def load(path: str, marks: tuple[str, ...] = ()):
+    """The vocabulary with each mark as one token. Marks aren't special: decoding keeps them, and special tokens of the file stay plain text."""
+    from tokenizers import AddedToken, Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    if marks:
+        t.add_tokens([AddedToken(m, special=False, normalized=False) for m in marks])
     return t
 
 
-def encode(c: Column, path: str = TOKENIZER) -> Column:
+def mark_ids(path: str = TOKENIZER, marks: tuple[str, ...] = MARKS) -> dict[str, int]:
+    t = load(path, marks)
+    return {m: t.token_to_id(m) for m in marks}
+
+
+def saved(path: str, out: str, marks: tuple[str, ...] = MARKS) -> None:
+    """Writes the vocabulary with its marks as one file, which load() reads without being told of them."""
+    load(path, marks).save(out)
+
+
+def demoted(text: str, tokens: set[str]) -> str:
+    """A vocabulary file's JSON whose added tokens no longer hold these: they stay in the model's vocabulary, and decoding doesn't skip them."""
+    held = json.loads(text)
+    held["added_tokens"] = [t for t in held.get("added_tokens", []) if t["content"] not in tokens]
+    return json.dumps(held, ensure_ascii=False)
+
+
+def answer_ids(letters: list[str], cue: str, path: str = TOKENIZER) -> list[int]:
+    """The first token that a letter adds after the cue and a blank: what a model would give out there, which isn't the letter's own id. An error if the cue's tokens change with it."""
+    encode_ = lambda x: load(path).encode(x, add_special_tokens=False).ids
+    start, out = encode_(cue), []
+    for letter in letters:
+        ids = encode_(f"{cue} {letter}")
+        if len(ids) == len(start) or ids[: len(start)] != start:
+            raise ValueError(f"{letter!r} changes the tokens of the cue before it")
+        out.append(ids[len(start)])
+    return out
+
+
+def encode(c: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:
-        found = _load(path).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
+        found = load(path, marks).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([e.ids if ok else None for e, ok in zip(found, s.notna())], dtype=object)
 
     return run(c)
 
 
-def encode_with_offsets(c: Column, path: str = TOKENIZER) -> Column:
+def encode_with_offsets(c: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
     """Ids and the characters [a, b) that each stands for."""
 
     @F.pandas_udf("ids array<int>, a array<int>, b array<int>")
     def run(s: pd.Series) -> pd.DataFrame:
-        found = _load(path).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
+        found = load(path, marks).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
         return pd.DataFrame({"ids": [e.ids for e in found], "a": [[x for x, _ in e.offsets] for e in found], "b": [[y for _, y in e.offsets] for e in found]})
 
     return run(c)
 
 
-def decode(ids: Column, path: str = TOKENIZER) -> Column:
+def decode(ids: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_load(path).decode_batch([[] if x is None else list(x) for x in s], skip_special_tokens=False))
+        return pd.Series(load(path, marks).decode_batch([[] if x is None else list(x) for x in s], skip_special_tokens=False))
 
     return run(ids)
 
 
+@lru_cache(2)
+def _pieces(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def encode_pieces(c: Column, path: str = PIECES) -> Column:
+    """Ids by a vocabulary of pieces over the compatibility normal form, with blanks as marks and bytes for what it lacks."""
+
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        found = _pieces(path).encode(s.fillna("").tolist(), num_threads=1)
+        return pd.Series([ids if ok else None for ids, ok in zip(found, s.notna())], dtype=object)
+
+    return run(c)
+
+
 def owner_spans(c: Column) -> Column:
-    """Characters [a, b) of each of the owner's replies with its end mark, in a rendered conversation."""
+    """Characters [a, b) of each of the owner's replies, from behind its label to the end of its closing mark, in a rendered conversation."""
 
     @F.pandas_udf("array<struct<a:int,b:int>>")
     def run(s: pd.Series) -> pd.Series:

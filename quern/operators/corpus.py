@@ -25,10 +25,10 @@ def sampled(key: Column, share: float = KEEP, seed: int = 67) -> Column:
 
 
 def first_of_each(docs: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """The first row of each text by the order: one that says which source wins. A group-by, so copies are merged before they are moved."""
-    rest = [c for c in docs.columns if c != text]
-    top = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("top")
-    return docs.groupBy(text).agg(top).select(*[F.col(f"top.{c}").alias(c) if c != text else F.col(text) for c in docs.columns])
+    """The first row of each text by the order: one that says which source wins. A group-by on 16 bytes of hash, so copies are merged before they are moved and keys are short."""
+    rest = [c for c in docs.columns if c not in order]
+    top = F.min(F.struct(*order, *rest)).alias("top")
+    return docs.groupBy(F.unhex(F.md5(text)).alias("__h")).agg(top).select(*[F.col(f"top.{c}").alias(c) for c in docs.columns])
 
 
 def at_most_per_group(docs: DataFrame, group: str, key: str, k: int, seed: int = 67) -> DataFrame:
@@ -36,18 +36,24 @@ def at_most_per_group(docs: DataFrame, group: str, key: str, k: int, seed: int =
     return docs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
 
-def validation_quota(docs: DataFrame, group: str, key: str, total: int, n_groups: int, seed: int = 67) -> DataFrame:
-    """Adds split: of each group at most total / n_groups rows, drawn evenly over it, are 'val'."""
-    quota = total // max(1, n_groups)
-    size = F.count("*").over(Window.partitionBy(group))
-    drawn = tx.uniform(F.col(key), seed) < F.least(F.lit(1.0), quota / F.greatest(size * KEEP, F.lit(1.0))) * float(2**32)
-    marked = docs.withColumn("__drawn", drawn.cast("int"))
-    turn = F.sum("__drawn").over(Window.partitionBy(group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("split", F.when((F.col("__drawn") == 1) & (turn <= quota), "val").otherwise("train")).drop("__drawn")
+def validation_quota(docs: DataFrame, group: str, key: str, keep: Column, total: int, n_groups: int, seed: int = 67) -> DataFrame:
+    """The rows of docs that `keep` holds for, with split: of each group at most total / n_groups of them, and one at least may be, are 'val'.
+
+    Kept rows are drawn at a rate that makes the quota of half of the group's rows, by a draw of their own, and of those drawn the
+    first by key stay: so 'val' comes from all over a group. Only drawn rows, about `total` in all, are put in order.
+    """
+    quota = max(1, total // max(1, n_groups))
+    sizes = docs.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__size"))
+    kept = docs.where(keep)
+    rate = F.least(F.lit(1.0), quota / F.greatest(F.col("__size") * KEEP, F.lit(1.0)))
+    drawn = kept.select(F.col(group).alias("__of"), F.col(key).alias("__k")).join(sizes, F.col("__of").eqNullSafe(F.col("__g"))).where(tx.uniform(F.col("__k"), seed + 1) < rate * float(2**32))
+    turn = F.row_number().over(Window.partitionBy("__g").orderBy("__k"))
+    val = drawn.withColumn("__turn", turn).where(F.col("__turn") <= quota).select("__k", F.lit("val").alias("__split"))
+    return kept.join(val, F.col(key) == F.col("__k"), "left").withColumn("split", F.coalesce("__split", F.lit("train"))).drop("__k", "__split")
 
 
-def exact_split(docs: DataFrame, key: str, fraction: float, seed: int = 67) -> DataFrame:
-    """Adds split: exactly ceil(fraction * n) rows are 'test', those of least hash.
+def exact_split(docs: DataFrame, key: str, fraction: float, seed: int = 67, rounding=F.ceil) -> DataFrame:
+    """Adds split: exactly fraction * n rows, rounded up or as told, are 'test', those of least hash.
 
     The boundary is found in two steps, so nothing is ranked in one task: counts of 65,536 ranges of the hash tell the range
     that the boundary lies in, and only its rows are ranked.
@@ -55,13 +61,30 @@ def exact_split(docs: DataFrame, key: str, fraction: float, seed: int = 67) -> D
     at = tx.shuffle_order(F.col(key), seed)
     cells = docs.groupBy(F.substring(at, 1, 4).alias("cell")).agg(F.count("*").alias("n"))
     run = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumn("upto", run).withColumn("want", F.ceil(F.sum("n").over(Window.partitionBy()) * F.lit(fraction)))
-    edge = cells.where("upto >= want").agg(F.min(F.struct("cell", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))).alias("e")).select("e.cell", "e.left")
-    inside = docs.select(F.col(key).alias("__k"), at.alias("__at")).join(edge, F.substring("__at", 1, 4) == F.col("cell"))
-    picked = inside.withColumn("__r", F.row_number().over(Window.orderBy("__at", "__k"))).where(F.col("__r") <= F.col("left")).select("__k")
-    below = docs.withColumn("__cell", F.substring(at, 1, 4)).join(edge.select(F.col("cell").alias("__edge")), how="cross")
-    flagged = below.join(picked.withColumn("__hit", F.lit(True)), F.col(key) == F.col("__k"), "left")
-    return flagged.withColumn("split", F.when((F.col("__cell") < F.col("__edge")) | F.col("__hit"), "test").otherwise("train")).select(*docs.columns, "split")
+    cells = cells.withColumn("upto", run).withColumn("want", rounding(F.sum("n").over(Window.partitionBy()) * F.lit(fraction)))
+    # One row.
+    edge = cells.where("upto >= want").agg(F.min(F.struct("cell", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))).alias("e")).select("e.cell", "e.left").first()
+    cell, left = (edge.cell or "", edge.left or 0) if edge else ("", 0)
+    inside = docs.select(F.col(key).alias("__k"), at.alias("__at")).where(F.substring("__at", 1, 4) == cell)
+    picked = inside.withColumn("__r", F.row_number().over(Window.orderBy("__at", "__k"))).where(F.col("__r") <= left).select("__k", F.lit(True).alias("__hit"))
+    flagged = docs.join(picked, F.col(key) == F.col("__k"), "left")
+    return flagged.withColumn("split", F.when((F.substring(at, 1, 4) < cell) | F.col("__hit"), "test").otherwise("train")).select(*docs.columns, "split")
+
+
+def exact_sample(docs: DataFrame, key: str, fraction: float, seed: int = 67) -> DataFrame:
+    """floor(fraction * n) rows without replacement, those of least hash."""
+    return exact_split(docs, key, fraction, seed, F.floor).where("split = 'test'").drop("split")
+
+
+def places(halves: DataFrame, order: str) -> DataFrame:
+    """Adds place, from 1: a row's position among those of its split ('test' or not), by an order that is a number and unique."""
+    from .blocks import offsets
+
+    counted = halves.withColumn("__one", F.lit(1).cast("long")).withColumn("__test", (F.col("split") == "test").cast("long"))
+    both = offsets(counted, order, "__one").withColumnRenamed("start", "__all")
+    both = offsets(both, order, "__test")
+    place = F.when(F.col("split") == "test", F.col("start")).otherwise(F.col("__all") - F.col("start")) + 1
+    return both.withColumn("place", place).drop("__one", "__test", "__all", "start")
 
 
 def replicated(docs: DataFrame, times: Column | int) -> DataFrame:
@@ -69,6 +92,15 @@ def replicated(docs: DataFrame, times: Column | int) -> DataFrame:
     return docs.withColumn("copy_no", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
 
 
+def weighted_union(sources: list[tuple[DataFrame, int]]) -> DataFrame:
+    """(source_rank, weight, ...): sources one after another, each row with the number of times that it counts. What only counts multiplies by the weight; replicated() repeats rows for what reads them."""
+    out = None
+    for rank, (rows, weight) in enumerate(sources):
+        part = rows.withColumns({"source_rank": F.lit(rank), "weight": F.lit(weight)})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def script_shares(c: Column) -> dict[str, Column]:
     arabic, latin = F.regexp_count(c, F.lit(r"[\x{600}-\x{6FF}]")), F.regexp_count(c, F.lit("[A-Za-z]"))
     return {"n_arabic": arabic, "n_latin": latin, "arabic_share": arabic / F.greatest(F.length(c), F.lit(1)), "latin_dominant": latin > arabic}

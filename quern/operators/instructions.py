@@ -41,6 +41,24 @@ def masked_tokens(messages: DataFrame, scored_speaker: str = "ASSISTANT") -> Dat
     return messages.select("conv_id", cells.alias("cells")).select("conv_id", F.transform("cells", lambda c: c["token"]).alias("tokens"), F.transform("cells", lambda c: c["on"]).alias("mask"))
 
 
+#: Letters of options and the cue after which a model gives one, in the benchmark's language.
+LETTERS = ["\u0623", "\u0628", "\u062c", "\u062f", "\u0647"]
+CUE = "\n\u0627\u0644\u0625\u062c\u0627\u0628\u0629:"
+
+
+def choice_prompt(question: Column, context: Column, options: Column, order: Column) -> Column:
+    """A question as an instruction, behind its context on a line of its own if there is one, then the options in the given order with their letters, then the cue."""
+    asked = F.concat(F.coalesce(F.concat(F.nullif(context, F.lit("")), F.lit("\n")), F.lit("")), question)
+    letters = F.array(*[F.lit(x) for x in LETTERS])
+    lines = F.transform(order, lambda o, i: F.concat(F.get(letters, i), F.lit(" "), F.get(options, o)))
+    return F.concat(F.lit("[inst] "), asked, F.lit(" [/inst]\n"), F.array_join(lines, "\n"), F.lit(CUE))
+
+
+def gold_place(answer: Column, order: Column) -> Column:
+    """Where the option that the answer's letter (a, b, ...) names stands in the order, from 0; -1 if it isn't there."""
+    return (F.array_position(order, (F.ascii(F.lower(tx.strip(answer))) - 97).cast("int")) - 1).cast("long")
+
+
 def prompt_labels(prompt: Column, answer: Column, end: int, length: int = 1024, ignored: int = -100) -> Column:
     """Labels of an instruction example: the prompt's positions are ignored, the answer and the end are scored, all cut to length."""
     return F.slice(F.concat(F.array_repeat(F.lit(ignored), F.size(prompt)), answer, F.array(F.lit(end))), 1, length)

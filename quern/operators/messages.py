@@ -106,9 +106,28 @@ def hold_out(sizes: DataFrame, fraction: float = 0.03, seed: int = 67) -> DataFr
     return ordered.mapInPandas(run, schema)
 
 
-def owner_share(messages: DataFrame, owner: Column, threshold: float = 0.2) -> DataFrame:
-    """(chat, n_tokens, n_owner, share, pool): a chat's share of tokens that its owner wrote; below the threshold it is in the low pool."""
+def owner_share(chunked: DataFrame, owner: Column, threshold: float = 0.2) -> DataFrame:
+    """(chat, n_tokens, n_owner, share, pool): a chat's share of tokens that count as its owner's replies; below the threshold it is in the low pool.
+
+    Tokens are the words and marks of rendered conversations: three around each conversation, a mark, a label and an end
+    mark for each turn. The owner's are the words and end mark of its turns, not their labels.
+    """
     n = tx.word_count(F.col("text"))
-    own = messages.groupBy("chat").agg(F.sum(n).alias("n_tokens"), F.sum(F.when(owner, n).otherwise(F.lit(0))).alias("n_owner"))
+    first = F.col("run_no") == F.min("run_no").over(Window.partitionBy("chat", "session_no", "chunk_no"))
+    cells = chunked.select("chat", (n + 3 + F.when(first, 3).otherwise(0)).alias("n"), F.when(owner, n + 1).otherwise(F.lit(0)).alias("own"))
+    own = cells.groupBy("chat").agg(F.sum("n").alias("n_tokens"), F.sum("own").alias("n_owner"))
+    share = F.col("n_owner") / F.greatest(F.col("n_tokens"), F.lit(1))
+    return own.withColumn("share", share).withColumn("pool", F.when(F.col("share") < threshold, "low").otherwise("high"))
+
+
+def share_of_masks(rows: DataFrame, mask: str, threshold: float = 0.2) -> DataFrame:
+    """The same from conversations (chat, mask), a flag for each of their tokens."""
+    own = rows.groupBy("chat").agg(F.sum(F.size(mask)).alias("n_tokens"), F.sum(F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_owner"))
     share = F.col("n_owner") / F.greatest(F.col("n_tokens"), F.lit(1))
     return own.withColumn("share", share).withColumn("pool", F.when(F.col("share") < threshold, "low").otherwise("high"))
+
+
+def pools(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """rows of chats with the pool that their chat is in; a chat that has no share is in the high one, as it isn't below the threshold."""
+    of = shares.select(F.col("chat").alias("__chat"), F.col("pool").alias("__pool"))
+    return rows.join(of, F.col("chat").eqNullSafe(F.col("__chat")), "left").withColumn("pool", F.coalesce("__pool", F.lit("high"))).drop("__chat", "__pool")

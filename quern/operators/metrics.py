@@ -21,6 +21,12 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("long")
 
 
+def gathered(values: Column, ids: list[int], n: Column | None = None) -> Column:
+    """The values at the ids, in their order; with n only the first n of them, so that slots that a question lacks can't win."""
+    picked = F.transform(F.array(*[F.lit(i) for i in ids]), lambda i: F.get(values, i))
+    return picked if n is None else F.slice(picked, F.lit(1), n)
+
+
 def log_softmax(values: Column) -> Column:
     top = F.array_max(values)
     norm = F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
@@ -68,6 +74,12 @@ def due(step: Column, every: int, at_zero: bool) -> Column:
     return F.when(step == 0, F.lit(at_zero)).otherwise(F.lit(every > 0) & (step % max(1, every) == 0))
 
 
+def throughput(tokens: Column, seconds: Column, flops: Column | float, peak: float) -> tuple[Column, Column]:
+    """Tokens a second, and the share of the machine's peak that they use."""
+    rate = tokens / F.greatest(seconds, F.lit(1e-9))
+    return rate, rate * flops / F.lit(float(peak))
+
+
 def flops_per_token(params: Column, layers: Column, width: Column, block: Column) -> Column:
     return 6 * params + 12 * layers * width * block
 

@@ -57,8 +57,8 @@ def _union(spark, sf_dir):
 
 
 def _first(spark, sf_dir):
-    rows = _union(spark, sf_dir).where(F.length("text") >= corpus.MIN_CHARS)
-    return corpus.first_of_each(rows, "text", ["source_rank", "row_ord"])
+    # Equal texts are equally long, so short ones may go once copies are merged; a filter before would clean each text twice, for itself and for the rows that pass.
+    return corpus.first_of_each(_union(spark, sf_dir), "text", ["source_rank", "row_ord"]).where(F.length("text") >= corpus.MIN_CHARS)
 
 
 @register("doc_dedup_first", f"WITH {UNION} SELECT source, row_ord, text FROM ranked WHERE k = 1")
@@ -66,11 +66,11 @@ def doc_dedup_first(spark, sf_dir):
     return _first(spark, sf_dir).select("source", "row_ord", "text")
 
 
-@register("doc_source_counts", f"WITH {UNION} SELECT source, n_raw, coalesce(n_kept, 0) AS n_kept, coalesce(n_chars, 0)::BIGINT AS n_chars FROM (SELECT source, count(*) AS n_raw FROM raw GROUP BY source) LEFT JOIN (SELECT source, count(*) AS n_kept, sum(length(text)) AS n_chars FROM ranked WHERE k = 1 GROUP BY source) USING (source)")
+@register("doc_source_counts", f"WITH {UNION} SELECT source, n_raw, coalesce(n_kept, 0) AS n_kept, n_raw - coalesce(n_kept, 0) AS n_dropped, coalesce(n_chars, 0)::BIGINT AS n_chars FROM (SELECT source, count(*) AS n_raw FROM raw GROUP BY source) LEFT JOIN (SELECT source, count(*) AS n_kept, sum(length(text)) AS n_chars FROM ranked WHERE k = 1 GROUP BY source) USING (source)")
 def doc_source_counts(spark, sf_dir):
     raw = _union(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_raw"))
     kept = _first(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_kept"), F.sum(F.length("text")).alias("n_chars"))
-    return raw.join(kept, "source", "left").select("source", "n_raw", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+    return raw.join(kept, "source", "left").select("source", "n_raw", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), (F.col("n_raw") - F.coalesce("n_kept", F.lit(0))).alias("n_dropped"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
 
 
 @register("doc_hash_sample", f"SELECT source, count(*) AS n_kept, sum(n_chars)::BIGINT AS n_chars FROM documents WHERE {tx.uniform_sql('doc_id')} < 2147483648 GROUP BY source")
@@ -78,15 +78,40 @@ def doc_hash_sample(spark, sf_dir):
     return documents(spark, sf_dir).where(corpus.sampled(F.col("doc_id"))).groupBy("source").agg(F.count("*").alias("n_kept"), F.sum("n_chars").alias("n_chars"))
 
 
-@register("doc_shard_k_sample", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('67:' || doc_id::VARCHAR), doc_id) AS k FROM documents) WHERE k <= 10")
+@register("doc_shard_k_sample", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('67:' || doc_id::VARCHAR), doc_id) AS k FROM documents) WHERE k <= 1250")
 def doc_shard_k_sample(spark, sf_dir):
-    return corpus.at_most_per_group(documents(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 10)
+    return corpus.at_most_per_group(documents(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 1250)
 
 
-@register("doc_val_quota", f"WITH n AS (SELECT count(DISTINCT source) AS g FROM documents), d AS (SELECT doc_id, source, 100 // greatest(1, g) AS quota, ({tx.uniform_sql('doc_id')} < least(1.0::DOUBLE, (100 // greatest(1, g)) / greatest(count(*) OVER (PARTITION BY source) * 0.5::DOUBLE, 1.0::DOUBLE)) * 4294967296.0::DOUBLE)::INT AS drawn FROM documents, n) SELECT doc_id, source, CASE WHEN drawn = 1 AND sum(drawn) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) <= quota THEN 'val' ELSE 'train' END AS split FROM d")
+VAL_DOCS = 10_000
+QUOTA = f"""WITH g AS (SELECT greatest(1, {{total}} // greatest(count(DISTINCT source), 1)) AS quota FROM documents), s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+kept AS (SELECT doc_id, source FROM documents WHERE {tx.uniform_sql('doc_id')} < 2147483648 AND text IS NOT NULL AND len({words_sql('text')}) >= 20),
+drawn AS (SELECT k.doc_id, row_number() OVER (PARTITION BY source ORDER BY k.doc_id) AS turn, quota FROM kept k JOIN s USING (source), g
+  WHERE {tx.uniform_sql('k.doc_id', 68)} < least(1.0::DOUBLE, quota / greatest(n * 0.5::DOUBLE, 1.0::DOUBLE)) * 4294967296.0::DOUBLE)
+SELECT doc_id, source, CASE WHEN doc_id IN (SELECT doc_id FROM drawn WHERE turn <= quota) THEN 'val' ELSE 'train' END AS split FROM kept"""
+
+
+def _quota(spark, sf_dir, total):
+    d = documents(spark, sf_dir)
+    keep = corpus.sampled(F.col("doc_id")) & corpus.valid_text(F.col("text"))
+    return corpus.validation_quota(d, "source", "doc_id", keep, total, d.select("source").distinct().count()).select("doc_id", "source", "split")
+
+
+@register("doc_val_quota", QUOTA.replace("{total}", str(VAL_DOCS)))
 def doc_val_quota(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", "source")
-    return corpus.validation_quota(d, "source", "doc_id", 100, d.select("source").distinct().count())
+    """Kept documents and their split, with the quota of a whole corpus."""
+    return _quota(spark, sf_dir, VAL_DOCS)
+
+
+@register("doc_val_quota_small", QUOTA.replace("{total}", "60"))
+def doc_val_quota_small(spark, sf_dir):
+    """The same with a quota that documents of a small table exceed."""
+    return _quota(spark, sf_dir, 60)
+
+
+@register("doc_tenth", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('67:' || doc_id::VARCHAR), doc_id) AS k, floor(count(*) OVER () * 0.1::DOUBLE) AS n FROM documents) WHERE k <= n")
+def doc_tenth(spark, sf_dir):
+    return corpus.exact_sample(documents(spark, sf_dir).select("doc_id"), "doc_id", 0.1)
 
 
 @register("doc_exact_split", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('67:' || doc_id::VARCHAR), doc_id) <= ceil(count(*) OVER () * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM documents")
@@ -94,13 +119,18 @@ def doc_exact_split(spark, sf_dir):
     return corpus.exact_split(documents(spark, sf_dir).select("doc_id"), "doc_id", 0.1)
 
 
-@register("doc_halves_in_order", "SELECT doc_id, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS place, split FROM (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('67:' || doc_id::VARCHAR), doc_id) <= ceil(count(*) OVER () * 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM benchmark_docs)".replace("benchmark_docs", "(SELECT item_id AS doc_id FROM benchmark)"))
+@register("doc_halves_in_order", "WITH c AS (SELECT DISTINCT conv_id FROM conversations), h AS (SELECT conv_id, CASE WHEN row_number() OVER (ORDER BY md5('67:' || conv_id::VARCHAR), conv_id) <= floor(count(*) OVER () * 0.5::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM c) SELECT conv_id, row_number() OVER (PARTITION BY split ORDER BY conv_id) AS place, split FROM h")
 def doc_halves_in_order(spark, sf_dir):
-    """Each half in the order of its rows; a half is one window partition."""
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    from pyspark.sql.window import Window
+    """Conversations in two halves, each in its first order."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return corpus.places(corpus.exact_split(c, "conv_id", 0.5, rounding=F.floor), "conv_id").select("conv_id", "place", "split")
+
 
-    return corpus.exact_split(b, "doc_id", 0.5).withColumn("place", F.row_number().over(Window.partitionBy("split").orderBy("doc_id")).cast("long"))
+@register("doc_weighted_words", f"WITH u AS (SELECT unnest({words_sql('text')}) AS word, 60 AS weight FROM benchmark UNION ALL SELECT unnest({words_sql('text')}), 1 FROM conversations) SELECT word, sum(weight)::BIGINT AS n FROM u GROUP BY word")
+def doc_weighted_words(spark, sf_dir):
+    """Word counts of several sources of different weights: what a vocabulary is looked for in, without repeating any row."""
+    both = corpus.weighted_union([(table(spark, sf_dir, "benchmark").select("text"), 60), (table(spark, sf_dir, "conversations").select("text"), 1)])
+    return both.select("weight", F.explode(tx.word_array(F.col("text"))).alias("word")).groupBy("word").agg(F.sum("weight").cast("long").alias("n"))
 
 
 @register("doc_upsample_union", "SELECT 'benchmark' AS source, item_id AS row_ord, k AS copy_no, length(text) AS n FROM benchmark, generate_series(1, 3) g(k) UNION ALL SELECT source, doc_id, 1, length(text) FROM documents")

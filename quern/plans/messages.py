@@ -103,7 +103,7 @@ def chat_holdout_split(spark, sf_dir):
     return _held(spark, sf_dir)
 
 
-@register("chat_holdout_check", f"WITH RECURSIVE {H} SELECT count(*) AS n_chats, count(*) FILTER (held) AS n_held, (SELECT count(*) FROM s) AS n_train_and_val, (SELECT count(*) FROM s WHERE chat IN (SELECT chat FROM h WHERE held)) AS n_val, 0::BIGINT AS n_in_both FROM h")
+@register("chat_holdout_check", f"WITH RECURSIVE {H}, k AS (SELECT count(*) AS n_chats, count(*) FILTER (held) AS n_held, (SELECT count(*) FROM s) AS n_train_and_val, (SELECT count(*) FROM s WHERE chat IN (SELECT chat FROM h WHERE held)) AS n_val, 0::BIGINT AS n_in_both FROM h) SELECT *, round(n_val / greatest(n_train_and_val, 1), 4) AS val_share FROM k")
 def chat_holdout_check(spark, sf_dir):
     held = _held(spark, sf_dir)
     rows = msg.sessions(log(spark, sf_dir))
@@ -111,12 +111,28 @@ def chat_holdout_check(spark, sf_dir):
     train = rows.join(held.where("held").select("chat"), "chat", "left_anti")
     both = train.select("chat").intersect(val.select("chat")).agg(F.count("*").alias("n_in_both"))
     sizes = train.select(F.lit(0).alias("v")).unionAll(val.select(F.lit(1).alias("v"))).agg(F.count("*").alias("n_train_and_val"), F.count_if(F.col("v") == 1).alias("n_val"))
-    return held.agg(F.count("*").alias("n_chats"), F.count_if("held").alias("n_held")).crossJoin(sizes).crossJoin(both)
+    # One row each.
+    found = {**held.agg(F.count("*").alias("n_chats"), F.count_if("held").alias("n_held")).first().asDict(), **sizes.first().asDict(), **both.first().asDict()}
+    share = F.round(F.lit(found["n_val"]) / F.lit(max(found["n_train_and_val"], 1)), 4)
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in found.items()], share.alias("val_share"))
 
 
-@register("chat_share_split", f"WITH t AS (SELECT user_id AS chat, len({words_sql('props')}) AS n, event_type = 'purchase' AS own FROM events), a AS (SELECT chat, sum(n)::BIGINT AS n_tokens, sum(CASE WHEN own THEN n ELSE 0 END)::BIGINT AS n_owner FROM t GROUP BY chat) SELECT *, n_owner / greatest(n_tokens, 1) AS share, CASE WHEN n_owner / greatest(n_tokens, 1) < 0.2::DOUBLE THEN 'low' ELSE 'high' END AS pool FROM a")
+OWN = f"""o AS (SELECT chat, session_no, chunk_no, len({words_sql('text')}) AS w, speaker = 'purchase' AS own, run_no = min(run_no) OVER (PARTITION BY chat, session_no, chunk_no) AS first FROM c),
+a AS (SELECT chat, sum(w + 3 + CASE WHEN first THEN 3 ELSE 0 END)::BIGINT AS n_tokens, sum(CASE WHEN own THEN w + 1 ELSE 0 END)::BIGINT AS n_owner FROM o GROUP BY chat),
+sh AS (SELECT *, n_owner / greatest(n_tokens, 1) AS share, CASE WHEN n_owner / greatest(n_tokens, 1) < 0.2::DOUBLE THEN 'low' ELSE 'high' END AS pool FROM a)"""
+
+
+@register("chat_share_split", f"WITH RECURSIVE {C}, {OWN} SELECT * FROM sh")
 def chat_share_split(spark, sf_dir):
-    return msg.owner_share(log(spark, sf_dir), F.col("speaker") == "purchase")
+    return msg.owner_share(msg.chunks(msg.runs(msg.sessions(log(spark, sf_dir)))), F.col("speaker") == "purchase")
+
+
+@register("chat_pool_rows", f"WITH RECURSIVE {C}, {OWN} SELECT DISTINCT c.chat, c.session_no, c.chunk_no, pool FROM c JOIN sh USING (chat)")
+def chat_pool_rows(spark, sf_dir):
+    """Conversations with the pool of their chat."""
+    chunked = msg.chunks(msg.runs(msg.sessions(log(spark, sf_dir))))
+    rows = msg.conversations(chunked).select("chat", "session_no", "chunk_no")
+    return msg.pools(rows, msg.owner_share(chunked, F.col("speaker") == "purchase"))
 
 
 V = rf"""u AS (

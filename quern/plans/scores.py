@@ -3,11 +3,14 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as tx
+from ..operators import evaluate as ev
+from ..operators import instructions as ins
 from ..operators import metrics as mt
-from .base import register, table
+from .base import register, table, words_sql
 
 Q = """q AS (
-  SELECT p_partkey AS idx, 'Which is ' || p_name || '?' AS question, CASE WHEN p_size >= 5 THEN 'Of type ' || p_type END AS context,
+  SELECT p_partkey AS idx, 'Which is ' || p_name || '?' AS question, CASE WHEN p_size >= 5 THEN 'Of type ' || p_type WHEN p_size = 3 THEN '' END AS context,
     list_filter([p_brand, p_type, CASE WHEN p_size > 10 THEN 'size ' || p_size END, CASE WHEN p_size > 25 THEN 'big' ELSE '' END], lambda x: x IS NOT NULL AND x <> '') AS options,
     CASE WHEN p_size > 20 THEN ' B' ELSE 'a' END AS answer
   FROM part
@@ -20,29 +23,29 @@ def _questions(spark, sf_dir):
     return p.select(
         F.col("p_partkey").alias("idx"),
         F.concat(F.lit("Which is "), "p_name", F.lit("?")).alias("question"),
-        F.when(F.col("p_size") >= 5, F.concat(F.lit("Of type "), "p_type")).alias("context"),
+        F.when(F.col("p_size") >= 5, F.concat(F.lit("Of type "), "p_type")).when(F.col("p_size") == 3, "").alias("context"),
         F.filter(options, lambda x: x.isNotNull() & (x != "")).alias("options"),
         F.when(F.col("p_size") > 20, " B").otherwise("a").alias("answer"),
     )
 
 
-def _gold(answer):
-    return F.ascii(F.lower(F.trim(answer))) - 97
+LETTERS_SQL = "[" + ", ".join(f"'{x}'" for x in ins.LETTERS) + "]"
+ORDERED = f"""{Q}, i AS (SELECT idx, unnest(generate_series(0, len(options) - 1)) AS i FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY md5('67:' || idx::VARCHAR || ':' || i::VARCHAR), i) - 1 AS place FROM i),
+g AS (SELECT q.idx, question, context, ascii(lower(trim(answer))) - 97 AS want, string_agg({LETTERS_SQL}[place + 1] || ' ' || options[i + 1], chr(10) ORDER BY place) AS lines, string_agg(options[i + 1], '|' ORDER BY place) AS shuffled, count(*) AS n_options, coalesce(max(place) FILTER (i = ascii(lower(trim(answer))) - 97), -1) AS gold FROM q JOIN r USING (idx) GROUP BY ALL)"""
 
 
-@register("mc_render", f"WITH {Q} SELECT idx, coalesce(context || chr(10), '') || question || chr(10) || array_to_string(list_transform(options, lambda o, i: chr((64 + i)::INT) || '. ' || o), chr(10)) || chr(10) || 'Answer:' AS prompt, len(options) AS n_options, ascii(lower(trim(answer))) - 97 AS gold FROM q")
+@register("mc_render", f"WITH {ORDERED} SELECT idx, '[inst] ' || coalesce(nullif(context, '') || chr(10), '') || question || ' [/inst]' || chr(10) || lines || '{ins.CUE}' AS prompt, n_options, gold FROM g")
 def mc_render(spark, sf_dir):
-    q = _questions(spark, sf_dir)
-    lines = F.array_join(F.transform("options", lambda o, i: F.concat(F.chr(i + 65), F.lit(". "), o)), "\n")
-    prompt = F.concat(F.coalesce(F.concat("context", F.lit("\n")), F.lit("")), "question", F.lit("\n"), lines, F.lit("\nAnswer:"))
-    return q.select("idx", prompt.alias("prompt"), F.size("options").cast("long").alias("n_options"), _gold(F.col("answer")).cast("int").alias("gold"))
+    q = _questions(spark, sf_dir).withColumn("order", mt.option_order(F.size("options"), F.col("idx")))
+    prompt = ins.choice_prompt(F.col("question"), F.col("context"), F.col("options"), F.col("order"))
+    return q.select("idx", prompt.alias("prompt"), F.size("options").cast("long").alias("n_options"), ins.gold_place(F.col("answer"), F.col("order")).alias("gold"))
 
 
-@register("mc_option_shuffle", f"WITH {Q}, o AS (SELECT idx, options, answer, unnest(generate_series(0, len(options) - 1)) AS i FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY md5('67:' || idx::VARCHAR || ':' || i::VARCHAR), i) - 1 AS place FROM o) SELECT idx, string_agg(options[i + 1], '|' ORDER BY place) AS shuffled, max(place) FILTER (i = ascii(lower(trim(answer))) - 97) AS gold FROM r GROUP BY idx")
+@register("mc_option_shuffle", f"WITH {ORDERED} SELECT idx, shuffled, gold FROM g")
 def mc_option_shuffle(spark, sf_dir):
     q = _questions(spark, sf_dir).withColumn("order", mt.option_order(F.size("options"), F.col("idx")))
-    shuffled = F.array_join(F.transform(F.transform(F.array(F.struct("order", "options")), lambda x: F.transform(x["order"], lambda i: F.get(x["options"], i)))[0], lambda o: o), "|")
-    return q.select("idx", shuffled.alias("shuffled"), (F.array_position("order", _gold(F.col("answer")).cast("int")) - 1).cast("long").alias("gold"))
+    shuffled = F.array_join(F.transform("order", lambda i: F.get("options", i)), "|")
+    return q.select("idx", shuffled.alias("shuffled"), ins.gold_place(F.col("answer"), F.col("order")).alias("gold"))
 
 
 def _logits(spark, sf_dir):
@@ -53,24 +56,26 @@ def _logits(spark, sf_dir):
 L = "l AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS logits FROM embeddings)"
 
 
-@register("mc_letter_accuracy", f"WITH {L}, p AS (SELECT 2 + label % 4 AS n, label % 2 AS gold, list_position(logits[1:2 + label % 4], list_max(logits[1:2 + label % 4])) - 1 AS pred FROM l) SELECT count(*) AS n_questions, round(avg((pred = gold)::INT), 8) AS accuracy, round(avg(1.0::DOUBLE / n), 8) AS chance, round(count(*) FILTER (pred = 0) / count(*), 8) AS share_0, round(count(*) FILTER (pred = 1) / count(*), 8) AS share_1, round(count(*) FILTER (pred = 2) / count(*), 8) AS share_2, round(count(*) FILTER (pred = 3) / count(*), 8) AS share_3, round(count(*) FILTER (pred = 4) / count(*), 8) AS share_4 FROM p")
+IDS = [3, 11, 7, 29, 40]
+SHARES = ", ".join(f"count(*) FILTER (pred = {k}) / count(*) AS letter_pred_frac_{k}" for k in range(5))
+
+
+@register("mc_letter_accuracy", f"WITH {L}, o AS (SELECT 2 + label % 4 AS n, label % 2 AS gold, [{', '.join(f'logits[{i + 1}]' for i in IDS)}][1:2 + label % 4] AS x FROM l), p AS (SELECT n, gold, list_position(x, list_max(x)) - 1 AS pred FROM o) SELECT count(*) FILTER (pred = gold) / count(*) AS letter_acc, round(avg(1.0::DOUBLE / n), 8) AS chance, {SHARES} FROM p")
 def mc_letter_accuracy(spark, sf_dir):
-    """Slots beyond a question's options can't win: they are cut off before the greatest is taken."""
-    n = 2 + F.col("label") % 4
-    p = _logits(spark, sf_dir).select(n.alias("n"), (F.col("label") % 2).alias("gold"), mt.argmax(F.slice("logits", F.lit(1), n)).alias("pred"))
-    share = lambda k: F.round(F.count_if(F.col("pred") == k) / F.count("*"), 8).alias(f"share_{k}")
-    return p.agg(F.count("*").alias("n_questions"), F.round(F.avg((F.col("pred") == F.col("gold")).cast("int")), 8).alias("accuracy"), F.round(F.avg(1.0 / F.col("n")), 8).alias("chance"), *[share(k) for k in range(5)])
+    """The letters' logits are gathered by their ids; slots beyond a question's options can't win."""
+    own = _logits(spark, sf_dir).select("logits", (F.col("label") % 2).alias("gold"), (2 + F.col("label") % 4).cast("int").alias("n_options"))
+    return ev.letter_accuracy(own, IDS).withColumn("chance", F.round("chance", 8))
 
 
-@register("mc_loglik_accuracy", f"WITH {L}, x AS (SELECT vec_id, label, unnest(logits) AS v, generate_subscripts(logits, 1) - 1 AS i FROM l), o AS (SELECT vec_id, label, CASE WHEN i < 8 THEN 0 WHEN i < 24 THEN 1 WHEN i < 40 THEN 2 ELSE 3 END AS option_ord, round(avg(v), 9) AS score FROM x GROUP BY ALL), b AS (SELECT vec_id, any_value(label) AS label, arg_min(option_ord, {{'s': -score, 'o': option_ord}}) AS pred FROM o GROUP BY vec_id) SELECT count(*) AS n_questions, round(avg((pred = label % 4)::INT), 8) AS accuracy, 0.25::DOUBLE AS chance FROM b")
+@register("mc_loglik_accuracy", f"WITH {L}, x AS (SELECT vec_id, label % (2 + vec_id % 3) AS gold, 2 + vec_id % 3 AS n, unnest(logits) AS v, generate_subscripts(logits, 1) - 1 AS i FROM l), t AS (SELECT *, CASE WHEN i < 8 THEN 0 WHEN i < 24 THEN 1 WHEN i < 40 THEN 2 ELSE 3 END AS option_ord FROM x), o AS (SELECT vec_id, gold, option_ord, round(avg(v), 9) AS score FROM t WHERE option_ord < n GROUP BY ALL), b AS (SELECT vec_id, any_value(gold) AS gold, count(*) AS n, arg_min(option_ord, {{'s': -score, 'o': option_ord}}) AS pred FROM o GROUP BY vec_id) SELECT count(*) FILTER (pred = gold) / count(*) AS acc, round(avg(1.0::DOUBLE / n), 8) AS chance FROM b")
 def mc_loglik_accuracy(spark, sf_dir):
-    """Options of unequal length by their mean score; of equals the first wins."""
-    x = _logits(spark, sf_dir).select("vec_id", "label", F.posexplode("logits").alias("i", "v"))
+    """Options of unequal length and number by their mean score; of equals the first wins, and chance is the mean of one over the number."""
+    n = 2 + F.col("vec_id") % 3
+    x = _logits(spark, sf_dir).select("vec_id", (F.col("label") % n).alias("gold"), n.alias("n"), F.posexplode("logits").alias("i", "v"))
     i = F.col("i")
-    option = F.when(i < 8, 0).when(i < 24, 1).when(i < 40, 2).otherwise(3)
-    o = x.groupBy("vec_id", "label", option.alias("option_ord")).agg(F.round(F.avg("v"), 9).alias("score"))
-    b = o.groupBy("vec_id", "label").agg(F.max_by("option_ord", F.struct("score", -F.col("option_ord"))).alias("pred"))
-    return b.agg(F.count("*").alias("n_questions"), F.round(F.avg((F.col("pred") == F.col("label") % 4).cast("int")), 8).alias("accuracy"), F.lit(0.25).alias("chance"))
+    x = x.withColumn("option_ord", F.when(i < 8, 0).when(i < 24, 1).when(i < 40, 2).otherwise(3)).where(F.col("option_ord") < F.col("n"))
+    x = x.groupBy("vec_id", "option_ord").agg(F.max("gold").alias("gold"), F.round(F.avg("v"), 9).alias("logp"))
+    return ev.option_accuracy(x.withColumnRenamed("vec_id", "idx")).withColumn("chance", F.round("chance", 8))
 
 
 PPL = "round(exp(least(coalesce(sum({v}), 0) / greatest(count({v}), 1), 20.0::DOUBLE)), 6)"
@@ -97,6 +102,30 @@ def ppl_gap(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(side("click").alias("ppl_dialect"), side("view").alias("ppl_standard")).withColumn("gap", F.round(F.col("ppl_dialect") - F.col("ppl_standard"), 5))
 
 
+@register("ppl_both_real", f"WITH d AS (SELECT lang, {words_sql('text')} AS w FROM documents), p AS (SELECT lang, list_sum(list_transform(generate_series(2, least(len(w), 40)), lambda i: length(w[i]) / 8)) AS total, greatest(least(len(w), 40) - 1, 0) AS n FROM d) SELECT lang, sum(n)::BIGINT AS n_scored, round(exp(least(coalesce(sum(total), 0) / greatest(sum(n), 1), 20.0::DOUBLE)), 6) AS perplexity FROM p GROUP BY lang")
+def ppl_both_real(spark, sf_dir):
+    """Texts padded to 40 words: only real words with a real one before them are scored."""
+    w = F.slice(tx.word_array(F.coalesce("text", F.lit(""))), 1, 40)
+    padded = table(spark, sf_dir, "documents").select("lang", w.alias("w")).select("lang", F.concat(F.transform("w", lambda x: F.length(x) / 8), F.array_repeat(F.lit(9.0), 40 - F.size("w"))).alias("nll"), F.concat(F.transform("w", lambda x: F.lit(1)), F.array_repeat(F.lit(0), 40 - F.size("w"))).alias("real"))
+    kept = padded.select("lang", ev.both_real(F.col("nll"), F.col("real")).alias("s"))
+    sums = kept.groupBy("lang").agg(F.sum(F.size("s")).alias("n_scored"), F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return sums.select("lang", "n_scored", F.round(mt.perplexity(F.col("total"), F.col("n_scored")), 6).alias("perplexity"))
+
+
+@register("ppl_ignored_labels", f"WITH e AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN event_id % 1000 ELSE -100 END AS label, value / 10 AS nll FROM events) SELECT count(*) FILTER (label <> -100) AS tokens, round(exp(least(coalesce(sum(nll) FILTER (label <> -100), 0) / greatest(count(*) FILTER (label <> -100), 1), 20.0::DOUBLE)), 6) AS ppl FROM e")
+def ppl_ignored_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("value") / 10).alias("nll"), F.when(F.col("event_type") == "purchase", F.col("event_id") % 1000).otherwise(F.lit(-100)).alias("label"))
+    return ev.holdout_perplexity(e).withColumn("ppl", F.round("ppl", 6))
+
+
+@register("ppl_owner_reply", "WITH e AS (SELECT user_id, event_type = 'purchase' AS own, value / 10 AS nll, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), u AS (SELECT user_id FROM e GROUP BY user_id HAVING count(*) > 1 AND bool_or(own)) SELECT count(nll) AS tokens, round(exp(least(coalesce(sum(nll), 0) / greatest(count(nll), 1), 20.0::DOUBLE)), 6) AS ppl FROM e WHERE own AND i > 1 AND user_id IN (SELECT user_id FROM u)")
+def ppl_owner_reply(spark, sf_dir):
+    """Conversations of two tokens or more, one of which counts."""
+    parts = F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") / 10).alias("x"), (F.col("event_type") == "purchase").cast("int").alias("m"))))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(parts.alias("p")).select(F.transform("p", lambda c: c["x"]).alias("nll"), F.transform("p", lambda c: c["m"]).alias("mask"))
+    return ev.reply_perplexity(e).withColumn("ppl", F.round("ppl", 6))
+
+
 @register("tok_compression", f"SELECT lang, sum(length(text))::BIGINT AS n_chars, round(sum(length(text)) / greatest(sum(len(regexp_split_to_array(text, ' '))), 1), 8) AS chars_per_token FROM documents GROUP BY lang")
 def tok_compression(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.length("text")).alias("n_chars"), F.sum(F.size(F.split("text", " "))).alias("n"))
@@ -149,12 +178,14 @@ def metric_best_so_far(spark, sf_dir):
     return mt.improved(d, "step", "val_loss")
 
 
-@register("metric_log_window", "SELECT event_id // 100 AS window_no, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY 1")
+@register("metric_log_window", "WITH w AS (SELECT event_id // 100 AS window_no, count(*) AS n, round(avg(value), 6) AS loss, count(*) * 131072 / greatest(sum(value), 1e-9) AS rate, (max(event_id) + 1) * 131072 AS tokens_seen FROM events GROUP BY 1) SELECT window_no, n, loss, round(rate, 4) AS tokens_per_sec, round(rate * 252000000::DOUBLE / 2.39e14, 10) AS mfu, tokens_seen FROM w")
 def metric_log_window(spark, sf_dir):
+    """Means of 100 steps with their throughput; an event's value stands in for a step's seconds."""
     from ..streaming import log_windows
 
-    e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss"))
-    return log_windows(e, 100).withColumn("loss", F.round("loss", 6))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("step"), F.col("value").alias("loss"), F.col("value").alias("seconds"))
+    w = log_windows(e, 100, 131072, 252e6, 2.39e14)
+    return w.withColumns({"loss": F.round("loss", 6), "tokens_per_sec": F.round("tokens_per_sec", 4), "mfu": F.round("mfu", 10)})
 
 
 @register("lr_schedule", "SELECT step, round(CASE WHEN step < 200 THEN 0.0006::DOUBLE * (step + 1) / 200 ELSE 0.00006::DOUBLE + 0.5 * (0.0006::DOUBLE - 0.00006::DOUBLE) * (1 + cos(pi() * least(1.0::DOUBLE, (step - 200) / 9300))) END, 12) AS lr FROM generate_series(0, 9600) g(step)")

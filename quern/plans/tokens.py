@@ -1,6 +1,7 @@
 """Token-stream queries: positions, blocks, masks, mixtures, loader assignments."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import blocks as bl
@@ -18,8 +19,8 @@ def _docs(spark, sf_dir):
     return d.select("doc_id", "source", tx.word_array(F.coalesce("text", F.lit(""))).alias("words"))
 
 
-def _stream(spark, sf_dir):
-    return bl.stream(_docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("tokens")), "doc_id", "tokens")
+def _ids(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("tokens"))
 
 
 def _join(c):
@@ -37,7 +38,7 @@ g AS (SELECT block_id, md5(string_agg(token::VARCHAR, ',' ORDER BY pos)) AS inpu
 
 @register("pack_blocks", f"WITH {BLOCKS} SELECT block_id, inputs, labels FROM g WHERE n = {B}")
 def pack_blocks(spark, sf_dir):
-    return bl.blocks(_stream(spark, sf_dir), B).select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"))
+    return bl.blocks(_ids(spark, sf_dir), "doc_id", "tokens", B).select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"))
 
 
 @register("pack_meta", f"WITH {T}, n AS (SELECT count(*) AS n_tokens FROM t) SELECT n_tokens, (n_tokens - 1) // {B} AS n_blocks, {B} AS block_size, 65536 AS vocabulary, round(((n_tokens - 1) // {B}) * {B} / greatest(n_tokens, 1), 4) AS used FROM n")
@@ -59,20 +60,17 @@ MASKED = f"""{V}, cells AS (
 
 def _masked(spark, sf_dir):
     m = ins.masked_tokens(ins.usable_turns(table(spark, sf_dir, "conversations")))
-    m = m.select("conv_id", F.transform("tokens", token_id).alias("tokens"), "mask")
-    return bl.stream(m, "conv_id", "tokens", "mask")
+    return m.select("conv_id", F.transform("tokens", token_id).alias("tokens"), "mask")
 
 
 @register("pack_label_shift", f"WITH {MASKED} SELECT pos, token, lead(token) OVER (ORDER BY pos) AS label FROM st QUALIFY label IS NOT NULL")
 def pack_label_shift(spark, sf_dir):
-    """A token's label is the next one's: joined by position, so no window runs over the whole stream."""
-    s = _masked(spark, sf_dir).select("pos", "token")
-    return s.join(s.select((F.col("pos") - 1).alias("pos"), F.col("token").alias("label")), "pos")
+    return bl.shifted_labels(_masked(spark, sf_dir), "conv_id", "tokens")
 
 
 @register("pack_mask_labels", f"WITH {MASKED}, x AS (SELECT pos // 64 AS block_id, pos, token, lead(CASE WHEN scored THEN token ELSE -100 END) OVER (ORDER BY pos) AS label FROM st) SELECT block_id, md5(string_agg(token::VARCHAR, ',' ORDER BY pos)) AS inputs, md5(string_agg(label::VARCHAR, ',' ORDER BY pos)) AS labels, count(*) FILTER (label <> -100) AS n_scored FROM x GROUP BY block_id HAVING count(label) = 64")
 def pack_mask_labels(spark, sf_dir):
-    b = bl.blocks(_masked(spark, sf_dir), 64)
+    b = bl.blocks(_masked(spark, sf_dir), "conv_id", "tokens", 64, "mask")
     return b.select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"), F.size(F.filter("labels", lambda x: x != bl.IGNORED)).cast("long").alias("n_scored"))
 
 
@@ -93,16 +91,22 @@ def pack_replay_budget(spark, sf_dir):
     return _replayed(spark, sf_dir)
 
 
-@register("pack_mixture", f"WITH {REPLAY} SELECT 'primary' AS part, count(*) AS n_docs, sum(len({words_sql('text')}))::BIGINT AS n_tokens FROM conversations UNION ALL SELECT 'replay', count(*), sum(n)::BIGINT FROM kept")
+@register("pack_mixture", f"WITH {REPLAY}, m AS (SELECT 'primary' AS part, count(*) AS n_docs, sum(len({words_sql('text')}))::BIGINT AS n_tokens FROM conversations UNION ALL SELECT 'replay', count(*), sum(n)::BIGINT FROM kept) SELECT *, round(n_tokens / greatest(sum(n_tokens) OVER (), 1), 4) AS fraction FROM m")
 def pack_mixture(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.lit("primary").alias("part"), tx.word_count(F.col("text")).alias("n"))
     both = c.unionByName(_replayed(spark, sf_dir).select(F.lit("replay").alias("part"), "n"))
-    return both.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    m = both.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    # Two rows.
+    return m.withColumn("fraction", F.round(F.col("n_tokens") / F.greatest(F.sum("n_tokens").over(Window.partitionBy()), F.lit(1)), 4))
 
 
-@register("pack_slice", f"WITH {T} SELECT pos, token FROM t WHERE pos BETWEEN 1000 AND 5999")
+@register("pack_slice", f"WITH {T}, n AS (SELECT (('0x' || substr(md5('67:slice'), 1, 8))::BIGINT * greatest(count(*) - 5001, 1)) >> 32 AS start FROM t) SELECT pos, token FROM t, n WHERE pos BETWEEN start AND start + 4999")
 def pack_slice(spark, sf_dir):
-    return bl.contiguous_slice(_stream(spark, sf_dir), 1000, 5000)
+    """5,000 tokens from a seeded place on: replay text as the stream has it."""
+    docs = _ids(spark, sf_dir)
+    n = _docs(spark, sf_dir).agg(F.sum(F.size("words")).cast("long")).first()[0] or 0
+    parts = bl.contiguous_slice(docs, "doc_id", "tokens", bl.slice_start(n, 5000), 5000)
+    return parts.select("pos", F.posexplode("tokens").alias("i", "token")).select((F.col("pos") + F.col("i")).alias("pos"), "token")
 
 
 @register("pack_separators", f"WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents) SELECT doc_id, len(w) + 1 AS n, md5(array_to_string(list_concat(list_transform(w, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR), ['2']), ',')) AS ids FROM d")
@@ -111,19 +115,19 @@ def pack_separators(spark, sf_dir):
     return d.select("doc_id", F.size("ids").cast("long").alias("n"), _join("ids").alias("ids"))
 
 
-@register("pack_prompt_labels", f"WITH p AS (SELECT q.conv_id, q.turn, len({words_sql('q.text')}) AS np, list_transform({words_sql('a.text')}, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR) AS aw FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') SELECT conv_id, turn, md5(array_to_string((list_concat(list_transform(generate_series(1, np), lambda x: '-100'), aw, ['2']))[1:128], ',')) AS labels FROM p")
+@register("pack_prompt_labels", f"WITH p AS (SELECT q.conv_id, q.turn, len({words_sql('q.text')}) AS np, list_transform({words_sql('a.text')}, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR) AS aw FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') SELECT conv_id, turn, md5(array_to_string((list_concat(list_transform(generate_series(1, np), lambda x: '-100'), aw, ['2']))[1:1024], ',')) AS labels FROM p")
 def pack_prompt_labels(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     ids = F.transform(tx.word_array(F.col("text")), token_id)
     q = c.where("role = 'user'").select("conv_id", "turn", ids.alias("q"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), ids.alias("a"))
-    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", _join(ins.prompt_labels(F.col("q"), F.col("a"), 2, 128)).alias("labels"))
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", _join(ins.prompt_labels(F.col("q"), F.col("a"), 2)).alias("labels"))
 
 
-@register("tok_padded", f"WITH d AS (SELECT doc_id, list_transform({words_sql('text')}, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR) AS w FROM documents) SELECT doc_id, least(len(w), 512) AS n_real, md5(array_to_string(list_concat(w[1:512], list_transform(generate_series(1, greatest(0, 512 - len(w))), lambda x: '0')), ',')) AS ids FROM d")
+@register("tok_padded", f"WITH d AS (SELECT doc_id, list_transform({words_sql('text')}, lambda x: {TOKEN_SQL.format(w='x')}::VARCHAR) AS w FROM documents) SELECT doc_id, least(len(w), 1024) AS n_real, md5(array_to_string(list_concat(w[1:1024], list_transform(generate_series(1, greatest(0, 1024 - len(w))), lambda x: '0')), ',')) AS ids FROM d")
 def tok_padded(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("ids"))
-    return d.select("doc_id", F.least(F.size("ids"), F.lit(512)).cast("long").alias("n_real"), _join(ins.padded(F.col("ids"), 0, 512)).alias("ids"))
+    return d.select("doc_id", F.least(F.size("ids"), F.lit(1024)).cast("long").alias("n_real"), _join(ins.padded(F.col("ids"), 0)).alias("ids"))
 
 
 E_SQL = "e AS (SELECT epoch, p_partkey AS block_id, row_number() OVER (PARTITION BY epoch ORDER BY md5((epoch + 67)::VARCHAR || ':' || p_partkey::VARCHAR), p_partkey) - 1 AS place FROM part, generate_series(0, 2) g(epoch)), n AS (SELECT count(*) // 8 AS per FROM part)"
@@ -150,6 +154,38 @@ def load_resume(spark, sf_dir):
     return bl.assignments(_order(spark, sf_dir), table(spark, sf_dir, "part").count(), 4, 2, 5)
 
 
+#: Five steps of 4 blocks on 2 ranks, then 3 ranks.
+RESIZED = f"""WITH {E_SQL.replace("count(*) // 8 AS per", "count(*) AS nb, count(*) // 12 AS per")},
+c AS (SELECT nb, per, nb // 8 AS was, CASE WHEN 5 <= nb // 8 THEN 40 ELSE (1 + (5 - nb // 8 - 1) // (nb // 8)) * nb + (5 - nb // 8 - (5 - nb // 8 - 1) // (nb // 8) * (nb // 8)) * 8 END AS pos FROM n),
+p AS (SELECT *, pos // nb AS e0, pos % nb AS o0, (nb - pos % nb) // 12 AS left_ FROM c)
+SELECT epoch, CASE WHEN epoch = e0 THEN (place - o0) // 12 ELSE left_ + (epoch - e0 - 1) * per + place // 12 END AS step,
+  CASE WHEN epoch = e0 THEN (place - o0) % 12 ELSE place % 12 END % 3 AS rank, CASE WHEN epoch = e0 THEN (place - o0) % 12 ELSE place % 12 END // 3 AS slot, block_id
+FROM e, p WHERE (epoch > e0 AND place < per * 12) OR (epoch = e0 AND place >= o0 AND place < o0 + left_ * 12)"""
+
+
+@register("load_resume_resized", RESIZED)
+def load_resume_resized(spark, sf_dir):
+    n = table(spark, sf_dir, "part").count()
+    return bl.assignments(_order(spark, sf_dir), n, 4, 3, position=bl.cursor_after(5, n, 8))
+
+
+@register("tok_piece_encode")
+def tok_piece_encode(spark, sf_dir):
+    """Ids by a vocabulary of pieces with byte fallback."""
+    from ..functions.tokenize import encode_pieces
+
+    return table(spark, sf_dir, "documents").select("doc_id", encode_pieces(F.col("text")).alias("ids"))
+
+
+@register("tok_piece_compression")
+def tok_piece_compression(spark, sf_dir):
+    """Characters for each token, of every language."""
+    from ..functions.tokenize import encode_pieces
+
+    d = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"), F.size(encode_pieces(F.col("text"))).alias("n")).where("n >= 0")
+    return d.groupBy("lang").agg(F.sum("c").cast("long").alias("n_chars"), (F.sum("c") / F.greatest(F.sum("n"), F.lit(1))).alias("chars_per_token"))
+
+
 @register("tok_bpe_encode")
 def tok_bpe_encode(spark, sf_dir):
     """Sub-word ids of each document; encoded in batches, so there is no SQL for it."""
@@ -160,13 +196,13 @@ def tok_bpe_encode(spark, sf_dir):
 
 @register("tok_owner_mask")
 def tok_owner_mask(spark, sf_dir):
-    """Tokens of rendered conversations that lie in a purchase run's text: spans found in the text, tokens by their offsets."""
+    """Tokens of rendered conversations that lie in a purchase run's text: spans found in the text, tokens by their offsets; a mark of the template is one token."""
     from ..functions import tokenize as tk
     from ..operators import messages as msg
     from .messages import log
 
     runs = msg.runs(msg.sessions(log(spark, sf_dir))).withColumn("speaker", F.when(F.col("speaker") == "purchase", "ME").otherwise(F.col("speaker")))
-    text = msg.conversations(msg.chunks(runs)).select("chat", "session_no", "chunk_no", tk.encode_with_offsets(F.col("text")).alias("e"), tk.owner_spans(F.col("text")).alias("spans"))
+    text = msg.conversations(msg.chunks(runs)).select("chat", "session_no", "chunk_no", tk.encode_with_offsets(F.col("text"), marks=tk.MARKS).alias("e"), tk.owner_spans(F.col("text")).alias("spans"))
     return text.select("chat", "session_no", "chunk_no", F.col("e.ids").alias("ids"), tk.within(F.col("spans"), F.col("e")).alias("mask"))
 
 

@@ -6,8 +6,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.metrics import throughput
+
+
+def files(spark: SparkSession, path: str, schema: str, kind: str = "parquet", at_once: int = 1) -> DataFrame:
+    """A folder as a stream, at most so many new files a batch: rows are pulled as they are asked for, and a restart goes on behind the last batch that was finished."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).format(kind).load(path)
+
 
 def sessions(messages: DataFrame, gap: str = "6 hours", late: str = "0 seconds") -> DataFrame:
     """(chat, started, ended, n): closed sessions of a stream of (chat, ts, ...), ts a timestamp with a zone.
@@ -23,9 +31,13 @@ def first_of_each(rows: DataFrame, text: str, time: str, late: str) -> DataFrame
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([text])
 
 
-def log_windows(rows: DataFrame, every: int) -> DataFrame:
-    """(window_no, n, loss): means over windows of `every` steps, steps from 1."""
-    return rows.groupBy(F.floor((F.col("step") - 1) / every).alias("window_no")).agg(F.count("*").alias("n"), F.avg("loss").alias("loss"))
+def log_windows(rows: DataFrame, every: int, tokens_per_step: int | None = None, flops_per_token: float = 0.0, peak: float = 1.0) -> DataFrame:
+    """(window_no, n, loss[, tokens_per_sec, mfu, tokens_seen]): means over windows of `every` steps, steps from 1. With tokens_per_step, rows have the seconds that a step took."""
+    aggs = [F.count("*").alias("n"), F.avg("loss").alias("loss")]
+    if tokens_per_step:
+        rate, share = throughput(F.count("*") * tokens_per_step, F.sum("seconds"), flops_per_token, peak)
+        aggs += [rate.alias("tokens_per_sec"), share.alias("mfu"), (F.max("step") * F.lit(tokens_per_step).cast("long")).alias("tokens_seen")]
+    return rows.groupBy(F.floor((F.col("step") - 1) / every).alias("window_no")).agg(*aggs)
 
 
 def improved(rows: DataFrame) -> DataFrame:
@@ -45,7 +57,7 @@ def improved(rows: DataFrame) -> DataFrame:
 
 
 def chunks(turns: DataFrame, max_turns: int = 30, max_chars: int = 2000) -> DataFrame:
-    """(chat, turn_no, chunk_no) of (chat, turn_no, n_chars): the greedy chunk rule with the open chunk kept as state."""
+    """(chat, session_no, turn_no, chunk_no) of (chat, session_no, turn_no, n_chars): the greedy chunk rule with the open chunk of each session kept as state, so a new session begins with a new chunk."""
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         chunk, size, chars = state.get if state.exists else (0, 0, 0)
@@ -57,6 +69,6 @@ def chunks(turns: DataFrame, max_turns: int = 30, max_chars: int = 2000) -> Data
             size, chars = size + 1, chars + int(n)
             out.append(chunk)
         state.update((chunk, size, chars))
-        yield part.assign(chunk_no=out)[["chat", "turn_no", "chunk_no"]]
+        yield part.assign(chunk_no=out)[["chat", "session_no", "turn_no", "chunk_no"]]
 
-    return turns.groupBy("chat").applyInPandasWithState(step, "chat string, turn_no long, chunk_no long", "chunk long, size long, chars long", "append", "NoTimeout")
+    return turns.groupBy("chat", "session_no").applyInPandasWithState(step, "chat string, session_no long, turn_no long, chunk_no long", "chunk long, size long, chars long", "append", "NoTimeout")

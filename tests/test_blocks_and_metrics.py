@@ -1,33 +1,92 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import blocks as bl
 from quern.operators import corpus
+from quern.operators import evaluate as ev
+from quern.operators import messages as msg
 from quern.operators import metrics as mt
 
 
-def stream(spark, n):
-    return spark.range(n).select(F.col("id").alias("pos"), F.col("id").cast("int").alias("token"))
+def docs_of(spark, n, longest=300, seed=0, mask=False):
+    """Documents of many lengths, some empty, whose tokens are the positions of their stream."""
+    rng = random.Random(seed)
+    rows, at, k = [], 0, 0
+    while at < n:
+        size = min(n - at, rng.choice([0, 1, 2, rng.randrange(longest)]))
+        rows.append((3 * k, list(range(at, at + size)), [int(x % 3 == 0) for x in range(at, at + size)]))
+        at, k = at + size, k + 1
+    return spark.createDataFrame(rows, "d long, ids array<int>, mask array<int>").repartition(3)
 
 
 def test_blocks_shift_cover_and_drop_the_tail(spark):
-    got = sorted(bl.blocks(stream(spark, 5000), 128).collect())
-    assert len(got) == 39 == bl.count_blocks(5000, 128)
-    for r in got:
-        assert r.inputs == list(range(r.block_id * 128, r.block_id * 128 + 128)) and r.labels == [x + 1 for x in r.inputs]
-    assert bl.blocks(stream(spark, 64 * 20 + 1), 64).count() == 20
+    for n, size in ((5000, 128), (64 * 20 + 1, 64), (64 * 20, 64), (700, 1), (90, 89), (90, 90)):
+        got = sorted(bl.blocks(docs_of(spark, n, seed=n), "d", "ids", size).collect())
+        assert [r.block_id for r in got] == list(range((n - 1) // size))
+        for r in got:
+            assert r.inputs == list(range(r.block_id * size, r.block_id * size + size)) and r.labels == [x + 1 for x in r.inputs]
+    assert bl.count_blocks(5000, 128) == 39
+    assert bl.blocks(docs_of(spark, 5).where("false"), "d", "ids", 4).collect() == []
     with pytest.raises(ValueError):
         bl.count_blocks(10, 1024)
 
 
 def test_mask_of_a_label_is_that_of_the_next_token(spark):
-    s = stream(spark, 9).withColumn("scored", F.col("pos") % 3 == 0)
-    got = sorted(bl.blocks(s, 4).collect())
+    got = sorted(bl.blocks(docs_of(spark, 9, 4), "d", "ids", 4, "mask").collect())
     assert got[0].labels == [-100, -100, 3, -100] and got[1].labels == [-100, 6, -100, -100]
 
 
+def test_labels_slices_and_streams(spark):
+    docs = docs_of(spark, 400, 30)
+    assert sorted(tuple(r) for r in bl.shifted_labels(docs, "d", "ids").collect()) == [(i, i, i + 1) for i in range(399)]
+    assert sorted(tuple(r) for r in bl.stream(docs, "d", "ids").collect()) == [(i, i) for i in range(400)]
+    for start, n in ((0, 400), (37, 120), (399, 5), (500, 3), (10, 0)):
+        parts = sorted((r.pos, r.tokens) for r in bl.contiguous_slice(docs, "d", "ids", start, n).collect())
+        assert [t for _, x in parts for t in x] == list(range(400))[start : start + n] and all(p == x[0] for p, x in parts)
+    starts = [bl.slice_start(1000, 100, s) for s in range(300)]
+    assert min(starts) >= 0 and max(starts) < 899 and len(set(starts)) > 200 and bl.slice_start(50, 100) == 0
+
+
+def test_ranks_of_a_hash_order(spark):
+    rows = spark.range(500).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("h"), (F.col("id") % 3).alias("g"))
+    for digits in (1, 2):
+        got = {r.id: r["rank"] for r in bl.ranked(rows, "h", "id", digits=digits).collect()}
+        assert got == {r.id: k for k, r in enumerate(rows.orderBy("h", "id").collect())}
+    by = bl.ranked(rows, "h", "id", ["g"]).collect()
+    for g in range(3):
+        assert [r["rank"] for r in sorted((r for r in by if r.g == g), key=lambda r: r.h)] == list(range(sum(r.g == g for r in by)))
+
+
+def walked(steps, n, each, position=0):
+    """The cursor step by step, and the places of each step."""
+    out = []
+    for _ in range(steps):
+        if position % n + each > n:
+            position = (position // n + 1) * n
+        out.append((position // n, position % n))
+        position += each
+    return position, out
+
+
+def test_cursor_and_resume_after_a_change_of_ranks(spark):
+    rng = random.Random(3)
+    for _ in range(400):
+        n, each, position = rng.randrange(5, 40), rng.randrange(1, 6), rng.randrange(100)
+        steps = rng.randrange(60)
+        assert bl.cursor_after(steps, n, each, position) == walked(steps, n, each, position)[0]
+    order = bl.epoch_order(spark.range(20).select(F.col("id").alias("block_id")), F.sequence(F.lit(0), F.lit(3)))
+    place = {(r.epoch, r.block_id): r.place for r in order.collect()}
+    at = bl.cursor_after(3, 20, 4)
+    rows = bl.assignments(order, 20, 2, 3, position=at).collect()
+    _, want = walked(max(r.step for r in rows) + 1, 20, 6, at)
+    for k, (epoch, offset) in enumerate(want):
+        own = sorted((r.slot * 3 + r["rank"], place[r.epoch, r.block_id]) for r in rows if r.step == k)
+        assert {r.epoch for r in rows if r.step == k} == {epoch} and own == [(i, offset + i) for i in range(6)]
+
+
 def test_offsets_in_two_steps(spark):
     docs = spark.createDataFrame([(i * 3, i % 5) for i in range(200)], "d long, n long")
     got = {r.d: r.start for r in bl.offsets(docs, "d", "n", 7).collect()}
@@ -61,11 +120,27 @@ def test_replay_takes_whole_batches(spark):
 def test_splits(spark):
     docs = spark.range(1003).select(F.col("id").alias("d"), (F.col("id") % 4).alias("g"))
     assert corpus.exact_split(docs, "d", 0.1).where("split = 'test'").count() == 101
-    val = corpus.validation_quota(docs, "g", "d", 40, 4).where("split = 'val'").groupBy("g").count().collect()
-    assert all(r["count"] <= 10 for r in val)
+    assert corpus.exact_sample(docs, "d", 0.1).count() == 100
+    assert corpus.exact_split(docs, "d", 0.0).where("split = 'test'").count() == 0 == corpus.exact_split(docs.where("false"), "d", 0.1).count()
     assert corpus.at_most_per_group(docs, "g", "d", 5).count() == 20
     share = docs.where(corpus.sampled(F.col("d"), 0.5)).count() / 1003
     assert 0.4 < share < 0.6
+    halves = corpus.places(corpus.exact_split(docs, "d", 0.5, rounding=F.floor), "d").collect()
+    for name, n in (("test", 501), ("train", 502)):
+        assert [r.place for r in sorted((r for r in halves if r.split == name), key=lambda r: r.d)] == list(range(1, n + 1))
+
+
+def test_validation_quota_comes_from_all_over_each_group(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("d"), F.when(F.col("id") % 4 < 3, F.col("id") % 4).alias("g"))
+    keep = corpus.sampled(F.col("d"), 0.5)
+    got = corpus.validation_quota(docs, "g", "d", keep, 400, 4).collect()
+    assert {r.d for r in got} == {r.d for r in docs.where(keep).collect()}
+    for g in (0, 1, 2, None):
+        val = sorted(r.d for r in got if r.g == g and r.split == "val")
+        assert 70 <= len(val) <= 100 and val[-1] > 30_000 and abs(val[len(val) // 2] - 20_000) < 6_000
+    # More groups than the quota: one a group at most, not none.
+    few = corpus.validation_quota(docs.withColumn("g", F.col("d") % 50), "g", "d", keep, 10, 50).where("split = 'val'").groupBy("g").count().collect()
+    assert len(few) > 20 and all(r["count"] == 1 for r in few)
 
 
 def test_perplexity_weighs_tokens_and_has_a_cap(spark):
@@ -93,5 +168,26 @@ def test_truncation_and_argmax(spark):
     assert 1500 < n < 1700
 
 
-def test_chance_of_two_and_four_options():
-    assert (1 / 2 + 1 / 4) / 2 == 0.375
+def test_accuracy_against_chance(spark):
+    letters = spark.createDataFrame([([0.0, 5.0, 1.0, 9.0], 0, 2), ([0.0, 1.0, 2.0, 9.0], 1, 3), ([3.0, 1.0, 2.0, 9.0], 3, 4)], "logits array<double>, gold long, n_options int")
+    r = ev.letter_accuracy(letters, [1, 2, 0, 3]).first()
+    assert r.letter_acc == 1 and abs(r.chance - (1 / 2 + 1 / 3 + 1 / 4) / 3) < 1e-12 and abs(r.letter_pred_frac_0 - 1 / 3) < 1e-12
+    options = spark.createDataFrame([(1, 0, 1, -2.0), (1, 0, 1, -2.0), (1, 1, 1, -1.0), (2, 0, 0, -1.0), (2, 1, 0, -1.0), (2, 2, 0, -3.0), (2, 3, 0, -9.0)], "idx int, option_ord int, gold int, logp double")
+    r = ev.option_accuracy(options).first()
+    assert (r.acc, r.chance) == (1.0, 0.375)
+    assert ev.option_accuracy(options.where("false")).first().acc == 0
+
+
+def test_scored_places(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0], [1, 1, 0]), ([5.0], [1]), ([1.0, 7.0], [0, 0]), ([4.0, 4.0], [0, 1])], "nll array<double>, mask array<int>")
+    assert [r.s for r in rows.select(ev.both_real(F.col("nll"), F.col("mask")).alias("s")).collect()] == [[2.0], [], [], [4.0]]
+    r = ev.reply_perplexity(rows).first()
+    assert r.tokens == 2 and abs(r.ppl - math.exp(3)) < 1e-9
+
+
+def test_shares_and_pools(spark):
+    masks = spark.createDataFrame([("a", [0, 1, 1, 0]), ("a", [0, 0]), ("b", [0] * 9 + [1])], "chat string, mask array<int>")
+    shares = msg.share_of_masks(masks, "mask")
+    assert {r.chat: (r.n_tokens, r.n_owner, r.pool) for r in shares.collect()} == {"a": (6, 2, "high"), "b": (10, 1, "low")}
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "chat string, i int")
+    assert sorted((r.i, r.pool) for r in msg.pools(rows, shares).collect()) == [(1, "high"), (2, "low"), (3, "high")]
