@@ -46,8 +46,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """df, written and read again. zstd is for texts only: Spark tells a table's size from its files', and ids that pack well would look small enough to be broadcast."""
+        df.write.option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -571,8 +571,8 @@ def extract(pages: DataFrame, group: int = 64, template_share: float = 0.5) -> D
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), _host(F.col("url")).alias("host"), "html")
-    parsed = scratch.save(own.mapInArrow(_parsed, PARSED), "parsed")
-    shapes = scratch.save(parsed.groupBy("host", "key").agg(F.first("shape").alias("shape")), "shapes")
+    parsed = scratch.save(own.mapInArrow(_parsed, PARSED), "parsed", "zstd")
+    shapes = scratch.save(parsed.groupBy("host", "key").agg(F.first("shape").alias("shape")), "shapes", "zstd")
     wrappers = infer(shapes.select("host", "shape"), scratch, group)
     wrappers = sent_whole_if_small(wrappers, F.length("wrapper") + F.length("host"))
     slots = shapes.join(wrappers, "host").select("host", "key", "shape", "wrapper").mapInArrow(_placed, "host string, key binary, slots array<int>")
