@@ -111,7 +111,7 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
-CELLS = 1 << 20
+CELLS = 1 << 18
 
 
 def _cells(keys: np.ndarray) -> np.ndarray:
@@ -162,9 +162,9 @@ def _apart_pairs(apart: DataFrame, texts: DataFrame, scratch: Scratch, threshold
     """
     apart = scratch.save(apart.select("band", "rep", "label"), "apart")
     own = texts.join(sent_whole_if_small(scratch.save(apart.select(F.col("rep").alias("id")).distinct(), "apart-ids"), F.lit(24)), "id", "left_semi")
-    counts = own.select("text").mapInArrow(_cell_counts(shingle), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = own.select("text").mapInArrow(_cell_counts(shingle), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     commonness = np.zeros(CELLS, np.int64)
-    commonness[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    commonness[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     runs = own.select(F.col("id").alias("rep"), "text").mapInArrow(_prefixes(threshold, shingle, commonness), "rep long, runs array<long>, n_index int, n int")
     cells = apart.join(scratch.save(runs, "runs"), "rep").select("band", "rep", "label", "n_index", "n", F.posexplode("runs").alias("at", "run"))
     cells = cells.select(F.xxhash64("band", "run").alias("cell"), "rep", "label", "n_index", "n", "at")

@@ -81,12 +81,12 @@ def _lloyd(vectors: DataFrame, centres: np.ndarray, assign: Callable[[np.ndarray
                 names=["centre", "j", "value"],
             )
 
-        sums = vectors.mapInArrow(run, "centre long, j int, value double").groupBy("centre", "j").agg(F.sum("value").alias("value")).toPandas()
-        if sums.empty:
-            return centres
-        wide = sums.pivot(index="centre", columns="j", values="value").sort_index(axis=1)
+        sums = vectors.mapInArrow(run, "centre long, j int, value double").groupBy("centre", "j").agg(F.sum("value").alias("value")).toArrow()
+        wide = np.zeros((len(centres), centres.shape[1] + 1))
+        wide[sums["centre"].to_numpy(), sums["j"].to_numpy()] = sums["value"].to_numpy()
+        full = wide[:, -1] > 0
         centres = centres.copy()
-        centres[wide.index.to_numpy()] = wide.to_numpy()[:, :-1] / wide.to_numpy()[:, -1:]
+        centres[full] = wide[full, :-1] / wide[full, -1:]
     return centres
 
 
@@ -234,11 +234,11 @@ def _blocks(sample: DataFrame, centres: np.ndarray, probes: int, dim: int, share
         full = np.flatnonzero(all_)
         yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(own[full]), pa.array(all_[full])], names=["list", "own", "all_"])
 
-    counts = sample.mapInArrow(run, "list int, own long, all_ long").groupBy("list").agg(F.sum("own").alias("own"), F.sum("all_").alias("all_")).toPandas()
+    counts = sample.mapInArrow(run, "list int, own long, all_ long").groupBy("list").agg(F.sum("own").alias("own"), F.sum("all_").alias("all_")).toArrow()
     blocks = np.ones((2, len(centres)), np.int64)
-    at = counts["list"].to_numpy(np.int64)
-    blocks[0, at] = np.maximum(1, np.ceil(counts["own"].to_numpy(float) / share / MEMBERS)).astype(np.int64)
-    blocks[1, at] = np.maximum(1, np.ceil(counts["all_"].to_numpy(float) / share / QUERIES)).astype(np.int64)
+    at = counts["list"].to_numpy()
+    blocks[0, at] = np.maximum(1, np.ceil(counts["own"].to_numpy() / share / MEMBERS)).astype(np.int64)
+    blocks[1, at] = np.maximum(1, np.ceil(counts["all_"].to_numpy() / share / QUERIES)).astype(np.int64)
     return blocks[0], blocks[1]
 
 
