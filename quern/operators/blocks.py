@@ -46,15 +46,16 @@ def ranked(rows: DataFrame, at: str, tie: str, by: list[str] | None = None, digi
     return cut.withColumn("__in", inside).join(counts, [*by, "__cell"]).withColumn("rank", F.col("__base") + F.col("__in")).drop("__cell", "__in", "__base")
 
 
-def placed(docs: DataFrame, order: str, tokens: str) -> DataFrame:
-    """docs that have tokens, with start, the position of their first one in the stream of all, and end, that behind their last."""
-    sized = docs.where(F.size(tokens) > 0).withColumn("__size", F.size(tokens).cast("long"))
-    return offsets(sized, order, "__size").withColumn("end", F.col("start") + F.col("__size")).drop("__size")
+def placed(docs: DataFrame, order: str, tokens: str, n: str | None = None) -> DataFrame:
+    """docs that have tokens, with start, the position of their first one in the stream of all, and end, that behind their last. `n` names a column with their number, where that is cheaper to get than the tokens themselves: sizes are summed in a pass of their own."""
+    sized = docs.withColumn("__size", F.coalesce(F.col(n) if n else F.size(tokens), F.lit(0)).cast("long"))
+    # Documents without tokens go last: a filter before would make the tokens of all once more.
+    return offsets(sized, order, "__size").where("__size > 0").withColumn("end", F.col("start") + F.col("__size")).drop("__size")
 
 
-def stream(docs: DataFrame, order: str, tokens: str, mask: str | None = None) -> DataFrame:
+def stream(docs: DataFrame, order: str, tokens: str, mask: str | None = None, n: str | None = None) -> DataFrame:
     """(pos, token[, scored]): the documents' tokens in order, each at its position in the whole stream: a row for each token, for sinks and readers that want them so. What works on blocks takes the documents themselves."""
-    own = placed(docs, order, tokens)
+    own = placed(docs, order, tokens, n)
     cells = F.arrays_zip(tokens, mask) if mask else F.col(tokens)
     long = own.select("start", F.posexplode(cells).alias("i", "cell"))
     if mask:
@@ -62,14 +63,14 @@ def stream(docs: DataFrame, order: str, tokens: str, mask: str | None = None) ->
     return long.select((F.col("start") + F.col("i")).alias("pos"), F.col("cell").alias("token"))
 
 
-def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None = None) -> DataFrame:
+def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None = None, n: str | None = None) -> DataFrame:
     """(block_id, inputs, labels): block k has the tokens from k * size on of the documents' stream, its labels are those one further; what is left over goes.
 
     A document's array is cut at the borders of blocks, so a block moves as a few slices and not as a row for each token.
     Its last label is the first token of the next block, so a slice that begins at a border reaches one further back. With a
     mask the labels that aren't scored are IGNORED.
     """
-    own = placed(docs, order, tokens)
+    own = placed(docs, order, tokens, n)
     label = F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t).otherwise(F.lit(IGNORED))) if mask else F.lit(None)
     first, last = F.greatest(F.ceil(F.col("start") / size) - 1, F.lit(0)), F.floor((F.col("end") - 1) / size)
 
@@ -87,9 +88,9 @@ def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None
     return whole.select("block_id", F.slice("t", 1, size).alias("inputs"), F.slice("l", 2, size).alias("labels"))
 
 
-def shifted_labels(docs: DataFrame, order: str, tokens: str) -> DataFrame:
+def shifted_labels(docs: DataFrame, order: str, tokens: str, n_tokens: str | None = None) -> DataFrame:
     """(pos, token, label): each token of the stream with the one after it; the very last has none and goes. Only a document's last token looks beyond its own array, to the document that starts where it ends."""
-    own = placed(docs, order, tokens)
+    own = placed(docs, order, tokens, n_tokens)
     n = F.size(tokens)
     inner = own.select("start", F.posexplode(F.arrays_zip(F.slice(tokens, F.lit(1), n - 1).alias("t"), F.slice(tokens, F.lit(2), n - 1).alias("l"))).alias("i", "c"))
     inner = inner.select((F.col("start") + F.col("i")).alias("pos"), F.col("c.t").alias("token"), F.col("c.l").alias("label"))
@@ -121,9 +122,9 @@ def slice_start(n_tokens: int, n: int, seed: int = 67) -> int:
     return int(md5(f"{seed}:slice".encode()).hexdigest()[:8], 16) * max(n_tokens - n - 1, 1) >> 32
 
 
-def contiguous_slice(docs: DataFrame, order: str, tokens: str, start: int, n: int) -> DataFrame:
+def contiguous_slice(docs: DataFrame, order: str, tokens: str, start: int, n: int, n_tokens: str | None = None) -> DataFrame:
     """(pos, tokens): the parts of documents that lie in the n tokens of the stream from start on; pos is a part's position. A document's array is cut, and only those that overlap the slice are."""
-    own = placed(docs, order, tokens).where((F.col("start") < start + n) & (F.col("end") > start))
+    own = placed(docs, order, tokens, n_tokens).where((F.col("start") < start + n) & (F.col("end") > start))
     low, high = F.greatest(F.col("start"), F.lit(start)), F.least(F.col("end"), F.lit(start + n))
     # Expressions above a filter may be looked at before it, so they hold for all rows.
     part = F.slice(tokens, F.greatest(low - F.col("start") + 1, F.lit(1)).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))

@@ -161,7 +161,9 @@ def logit_logsoftmax(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", "label", F.round(F.get(mt.log_softmax(F.col("logits")), F.col("label")), 8).alias("logp"))
 
 
-@register("logit_sample")
+@register("logit_sample", f"""WITH {L}, x AS (SELECT vec_id, temperature, unnest(logits) / temperature AS v, generate_subscripts(logits, 1) - 1 AS i FROM l, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) t(temperature)),
+n AS (SELECT vec_id, temperature, i, v - ln(-ln(({tx.uniform_sql("vec_id::VARCHAR || '@' || temperature::VARCHAR || '/' || i::VARCHAR")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS s FROM x)
+SELECT vec_id, temperature, arg_min(i, {{'s': -s, 'i': i}}) AS token FROM n GROUP BY vec_id, temperature""")
 def logit_sample(spark, sf_dir):
     """A keyed draw for each vector at two temperatures: prompts crossed with temperatures."""
     t = spark.createDataFrame([(0.5,), (1.0,)], "temperature double")

@@ -16,11 +16,11 @@ t AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS pos, {TOKEN_SQL.forma
 
 def _docs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", tx.word_array(F.coalesce("text", F.lit(""))).alias("words"))
+    return d.select("doc_id", "source", tx.word_array(F.coalesce("text", F.lit(""))).alias("words"), tx.word_count(F.col("text")).alias("n"))
 
 
 def _ids(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("tokens"))
+    return _docs(spark, sf_dir).select("doc_id", F.transform("words", token_id).alias("tokens"), "n")
 
 
 def _join(c):
@@ -29,7 +29,7 @@ def _join(c):
 
 @register("pack_positions", f"WITH d AS (SELECT doc_id, len({words_sql('text')})::BIGINT AS n FROM documents) SELECT doc_id, n, (sum(n) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS start FROM d")
 def pack_positions(spark, sf_dir):
-    return bl.offsets(_docs(spark, sf_dir).select("doc_id", F.size("words").cast("long").alias("n")), "doc_id", "n")
+    return bl.offsets(_docs(spark, sf_dir).select("doc_id", "n"), "doc_id", "n")
 
 
 BLOCKS = f"""{T}, x AS (SELECT pos // {B} AS block_id, pos, token, lead(token) OVER (ORDER BY pos) AS label FROM t),
@@ -38,12 +38,12 @@ g AS (SELECT block_id, md5(string_agg(token::VARCHAR, ',' ORDER BY pos)) AS inpu
 
 @register("pack_blocks", f"WITH {BLOCKS} SELECT block_id, inputs, labels FROM g WHERE n = {B}")
 def pack_blocks(spark, sf_dir):
-    return bl.blocks(_ids(spark, sf_dir), "doc_id", "tokens", B).select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"))
+    return bl.blocks(_ids(spark, sf_dir), "doc_id", "tokens", B, n="n").select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"))
 
 
 @register("pack_meta", f"WITH {T}, n AS (SELECT count(*) AS n_tokens FROM t) SELECT n_tokens, (n_tokens - 1) // {B} AS n_blocks, {B} AS block_size, 65536 AS vocabulary, round(((n_tokens - 1) // {B}) * {B} / greatest(n_tokens, 1), 4) AS used FROM n")
 def pack_meta(spark, sf_dir):
-    n = _docs(spark, sf_dir).agg(F.sum(F.size("words")).cast("long").alias("n_tokens"))
+    n = _docs(spark, sf_dir).agg(F.sum("n").alias("n_tokens"))
     k = F.floor((F.col("n_tokens") - 1) / B)
     return n.select("n_tokens", k.alias("n_blocks"), F.lit(B).alias("block_size"), F.lit(65536).alias("vocabulary"), F.round(k * B / F.greatest("n_tokens", F.lit(1)), 4).alias("used"))
 
@@ -82,7 +82,7 @@ kept AS (SELECT doc_id, n, batch_no FROM r JOIN bt USING (batch_no), tg WHERE sp
 
 def _replayed(spark, sf_dir):
     p = table(spark, sf_dir, "conversations").agg(F.sum(tx.word_count(F.col("text")))).first()[0] or 0
-    docs = _docs(spark, sf_dir).select("doc_id", F.size("words").cast("long").alias("n"))
+    docs = _docs(spark, sf_dir).select("doc_id", "n")
     return bl.replay(docs, "doc_id", "n", bl.replay_target(p, 0.25))
 
 
@@ -104,8 +104,8 @@ def pack_mixture(spark, sf_dir):
 def pack_slice(spark, sf_dir):
     """5,000 tokens from a seeded place on: replay text as the stream has it."""
     docs = _ids(spark, sf_dir)
-    n = _docs(spark, sf_dir).agg(F.sum(F.size("words")).cast("long")).first()[0] or 0
-    parts = bl.contiguous_slice(docs, "doc_id", "tokens", bl.slice_start(n, 5000), 5000)
+    n = _docs(spark, sf_dir).agg(F.sum("n")).first()[0] or 0
+    parts = bl.contiguous_slice(docs, "doc_id", "tokens", bl.slice_start(n, 5000), 5000, "n")
     return parts.select("pos", F.posexplode("tokens").alias("i", "token")).select((F.col("pos") + F.col("i")).alias("pos"), "token")
 
 
