@@ -13,16 +13,17 @@ from ..functions import text as tx
 IGNORED = -100
 
 
-def offsets(docs: DataFrame, order: str, size: str, rows_per_range: int = 100_000) -> DataFrame:
+def offsets(docs: DataFrame, order: str, size: str, rows_per_range: int = 100_000, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """Adds start: the sum of the sizes of all documents before, by an order that is a number and unique.
 
     Two steps instead of one window over everything: sizes are summed for each range of the order; ranges, a row each,
     are summed up in turn; then a document needs only its own range. The ranges follow the spread of the order, which
-    for ids that are given out in turn is even.
+    for ids that are given out in turn is even. bounds, the order's least and greatest value and about how many rows
+    there are, saves a look at docs; they only say where ranges are cut.
     """
-    b = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, -(-((b.hi or 0) - (b.lo or 0) + 1) * rows_per_range // max(1, b.n)))
-    cut = docs.withColumn("__range", F.floor((F.col(order) - F.lit(b.lo or 0)) / width))
+    low, high, n = bounds or docs.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) * rows_per_range // max(1, n)))
+    cut = docs.withColumn("__range", F.floor((F.col(order) - F.lit(low or 0)) / width))
     sums = cut.groupBy("__range").agg(F.sum(size).alias("__sum"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
@@ -46,11 +47,11 @@ def ranked(rows: DataFrame, at: str, tie: str, by: list[str] | None = None, digi
     return cut.withColumn("__in", inside).join(counts, [*by, "__cell"]).withColumn("rank", F.col("__base") + F.col("__in")).drop("__cell", "__in", "__base")
 
 
-def placed(docs: DataFrame, order: str, tokens: str, n: str | None = None) -> DataFrame:
+def placed(docs: DataFrame, order: str, tokens: str, n: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """docs that have tokens, with start, the position of their first one in the stream of all, and end, that behind their last. `n` names a column with their number, where that is cheaper to get than the tokens themselves: sizes are summed in a pass of their own."""
     sized = docs.withColumn("__size", F.coalesce(F.col(n) if n else F.size(tokens), F.lit(0)).cast("long"))
     # Documents without tokens go last: a filter before would make the tokens of all once more.
-    return offsets(sized, order, "__size").where("__size > 0").withColumn("end", F.col("start") + F.col("__size")).drop("__size")
+    return offsets(sized, order, "__size", bounds=bounds).where("__size > 0").withColumn("end", F.col("start") + F.col("__size")).drop("__size")
 
 
 def stream(docs: DataFrame, order: str, tokens: str, mask: str | None = None, n: str | None = None) -> DataFrame:
@@ -63,14 +64,14 @@ def stream(docs: DataFrame, order: str, tokens: str, mask: str | None = None, n:
     return long.select((F.col("start") + F.col("i")).alias("pos"), F.col("cell").alias("token"))
 
 
-def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None = None, n: str | None = None) -> DataFrame:
+def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None = None, n: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """(block_id, inputs, labels): block k has the tokens from k * size on of the documents' stream, its labels are those one further; what is left over goes.
 
     A document's array is cut at the borders of blocks, so a block moves as a few slices and not as a row for each token.
     Its last label is the first token of the next block, so a slice that begins at a border reaches one further back. With a
     mask the labels that aren't scored are IGNORED.
     """
-    own = placed(docs, order, tokens, n)
+    own = placed(docs, order, tokens, n, bounds)
     label = F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t).otherwise(F.lit(IGNORED))) if mask else F.lit(None)
     first, last = F.greatest(F.ceil(F.col("start") / size) - 1, F.lit(0)), F.floor((F.col("end") - 1) / size)
 
@@ -88,9 +89,9 @@ def blocks(docs: DataFrame, order: str, tokens: str, size: int, mask: str | None
     return whole.select("block_id", F.slice("t", 1, size).alias("inputs"), F.slice("l", 2, size).alias("labels"))
 
 
-def shifted_labels(docs: DataFrame, order: str, tokens: str, n_tokens: str | None = None) -> DataFrame:
+def shifted_labels(docs: DataFrame, order: str, tokens: str, n_tokens: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """(pos, token, label): each token of the stream with the one after it; the very last has none and goes. Only a document's last token looks beyond its own array, to the document that starts where it ends."""
-    own = placed(docs, order, tokens, n_tokens)
+    own = placed(docs, order, tokens, n_tokens, bounds)
     n = F.size(tokens)
     inner = own.select("start", F.posexplode(F.arrays_zip(F.slice(tokens, F.lit(1), n - 1).alias("t"), F.slice(tokens, F.lit(2), n - 1).alias("l"))).alias("i", "c"))
     inner = inner.select((F.col("start") + F.col("i")).alias("pos"), F.col("c.t").alias("token"), F.col("c.l").alias("label"))
@@ -109,7 +110,8 @@ def replay(docs: DataFrame, key: str, size: str, target: int, batch: int = 64, s
     """Whole batches of documents in shuffled order until the sum of sizes reaches the target: a batch stays if those before it fall short."""
     at = ranked(docs.withColumn("__at", tx.shuffle_order(F.col(key), seed)), "__at", key).withColumn("batch_no", F.floor(F.col("rank") / batch))
     totals = at.groupBy("batch_no").agg(F.sum(size).alias("__sum"))
-    kept = offsets(totals, "batch_no", "__sum").where(F.col("start") < target).select("batch_no")
+    last = docs.count() // batch
+    kept = offsets(totals, "batch_no", "__sum", bounds=(0, last, last + 1)).where(F.col("start") < target).select("batch_no")
     return at.join(kept, "batch_no").select(*docs.columns, "batch_no")
 
 

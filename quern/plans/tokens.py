@@ -63,14 +63,19 @@ def _masked(spark, sf_dir):
     return m.select("conv_id", F.transform("tokens", token_id).alias("tokens"), "mask")
 
 
+def _bounds(spark, sf_dir):
+    """Of the conversations' ids, with the number of turns for that of conversations: close enough for ranges, and no conversation has to be built for it."""
+    return tuple(table(spark, sf_dir, "conversations").agg(F.min("conv_id"), F.max("conv_id"), F.count("*")).first())
+
+
 @register("pack_label_shift", f"WITH {MASKED} SELECT pos, token, lead(token) OVER (ORDER BY pos) AS label FROM st QUALIFY label IS NOT NULL")
 def pack_label_shift(spark, sf_dir):
-    return bl.shifted_labels(_masked(spark, sf_dir), "conv_id", "tokens")
+    return bl.shifted_labels(_masked(spark, sf_dir), "conv_id", "tokens", bounds=_bounds(spark, sf_dir))
 
 
 @register("pack_mask_labels", f"WITH {MASKED}, x AS (SELECT pos // 64 AS block_id, pos, token, lead(CASE WHEN scored THEN token ELSE -100 END) OVER (ORDER BY pos) AS label FROM st) SELECT block_id, md5(string_agg(token::VARCHAR, ',' ORDER BY pos)) AS inputs, md5(string_agg(label::VARCHAR, ',' ORDER BY pos)) AS labels, count(*) FILTER (label <> -100) AS n_scored FROM x GROUP BY block_id HAVING count(label) = 64")
 def pack_mask_labels(spark, sf_dir):
-    b = bl.blocks(_masked(spark, sf_dir), "conv_id", "tokens", 64, "mask")
+    b = bl.blocks(_masked(spark, sf_dir), "conv_id", "tokens", 64, "mask", bounds=_bounds(spark, sf_dir))
     return b.select("block_id", _join("inputs").alias("inputs"), _join("labels").alias("labels"), F.size(F.filter("labels", lambda x: x != bl.IGNORED)).cast("long").alias("n_scored"))
 
 
