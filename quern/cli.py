@@ -126,7 +126,7 @@ def stage_d(spark: SparkSession, chats: str, val: str, out: str, tokenizer: str,
         ids = rows.select(F.col("row_ord").alias("ord"), F.concat("ids", end).alias("ids"), F.concat("mask", F.array(F.lit(0))).alias("mask"))
         found[name] = _written(spark, ids, out, name, "mask")
     train = found["train"]
-    meta = {"stage": "stage_d", "splits": {k: v["n_tokens"] for k, v in found.items()}, "scored_tokens": {k: v["n_scored"] for k, v in found.items()}, "scored_fraction": round(train["n_scored"] / max(train["n_tokens"], 1), 4), "loss_on": "owner replies only", "me_share_threshold": threshold, **_vocabulary(tokenizer)}
+    meta = {"stage": "stage_d", "loss_on": "owner replies only", "splits": {k: v["n_tokens"] for k, v in found.items()}, "scored_tokens": {k: v["n_scored"] for k, v in found.items()}, "scored_fraction": round(train["n_scored"] / max(train["n_tokens"], 1), 4), "me_share_threshold": threshold, **_vocabulary(tokenizer)}
     return _saved_meta(spark, out, meta, began)
 
 

@@ -14,7 +14,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks of the chat template; as tokens of their own they take the ids after the vocabulary's.
 MARKS = ("<s>", "</s>", "<unk>", "<pad>", "<|conv|>", "<|turn|>", "<|end|>")
-OWNER_TURN = re.compile(r"<\|turn\|>ME:(.*?)(<\|end\|>)", re.S)
+#: One of the owner's turns: its reply and the mark that closes it.
+OWNER_TURN = re.compile(f"{re.escape(MARKS[5] + 'ME:')}(.*?)({re.escape(MARKS[6])})", re.DOTALL)
 
 
 @lru_cache(8)
@@ -42,7 +43,8 @@ def saved(path: str, out: str, marks: tuple[str, ...] = MARKS) -> None:
 def demoted(text: str, tokens: set[str]) -> str:
     """A vocabulary file's JSON whose added tokens no longer hold these: they stay in the model's vocabulary, and decoding doesn't skip them."""
     held = json.loads(text)
-    held["added_tokens"] = [t for t in held.get("added_tokens", []) if t["content"] not in tokens]
+    if "added_tokens" in held:
+        held["added_tokens"] = list(filter(lambda added: added["content"] not in tokens, held["added_tokens"]))
     return json.dumps(held, ensure_ascii=False)
 
 

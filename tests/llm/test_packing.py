@@ -10,7 +10,7 @@ def plain(demand, limits):
     """The heuristic, one item and one bin at a time."""
     limit = np.array(limits, float)
     weight = (demand / limit).sum(0)
-    weight = weight / weight.sum()
+    weight = weight / max(weight.sum(), 1e-12)
     todo, out, current = list(range(len(demand))), np.full(len(demand), -1), -1
     kinds = {tuple(x): i for i, x in enumerate(np.unique(demand, axis=0))}
     while todo:
