@@ -9,12 +9,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Scratch
 from .tokens import TOKENIZER, counted, encode
 
 LIMITS = (4096, 32, 2048)
 GROUP = 4096
+#: A conversation's turns are parted at each multiple of 2**TURN_BITS of their number.
+TURN_BITS = 12
 
 
 def pack(demand: np.ndarray, limits=LIMITS) -> np.ndarray:
@@ -68,35 +71,51 @@ def cut(turns: list[tuple[int, bool]], limits=LIMITS) -> list[tuple[int, int]]:
     return [*pieces, (tokens, loss)] if tokens else pieces
 
 
+def _after_earlier_parts(pieces: DataFrame) -> DataFrame:
+    """pieces with piece and start counted on from the earlier parts of their example. A part is a row here, so an example's order isn't that of its pieces."""
+    sums = pieces.groupBy("example_id", "part").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    before = Window.partitionBy("example_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = sums.where("example_id is not null").select("example_id", "part", F.sum("n").over(before).alias("__n"), F.sum("tokens").over(before).alias("__tokens")).where("__n > 0")
+    both = pieces.join(later, ["example_id", "part"], "left")
+    piece, start = F.col("piece") + F.coalesce("__n", F.lit(0)), F.col("start") + F.coalesce("__tokens", F.lit(0))
+    return both.select("grp", "example_id", "part", piece.cast("int").alias("piece"), start.alias("start"), "n_tokens", "n_loss")
+
+
 def packed(examples: DataFrame, limits=LIMITS, group: int = GROUP) -> DataFrame:
     """(example_id, piece, start, n_tokens, n_loss, bin_id, slot): every example placed.
 
-    examples has example_id and turns, an array of structs (n, scored). An example beyond a limit is cut into pieces
-    that follow each other; each piece is a segment, the n_tokens tokens from `start` on of its example. Groups of about `group` examples, by the hash of their
-    id, are packed on their own, as many groups as there is data for; bin_id is text 'group-bin'. slot is the place
-    in the bin, in order of example and piece. An example without tokens has no row; rows that repeat an id are each
-    placed; a null id is an id of its own kind.
+    examples has example_id and turns, an array of structs (n, scored), and may have part: the rows of an example with
+    different parts follow each other in order of part, and no piece spans two, so an example of any length is never
+    one row or one task. An example beyond a limit is cut into pieces that follow each other; each piece is a segment, the
+    n_tokens tokens from `start` on of its example. Groups of about `group` rows, by the hash of their id, part and turns,
+    are packed on their own, as many groups as there is data for; bin_id is text 'group-bin'. slot is the place
+    in the bin, in order of example and piece. An example without tokens has no row; rows that repeat an id (and part)
+    are each placed, counting from 0 each; a null id is an id of its own kind, and its rows have no later parts.
     """
     spark = examples.sparkSession
     scratch = Scratch(spark, "packing")
-    rows = scratch.save(examples.select(F.col("example_id").cast("long").alias("example_id"), "turns"), "examples")
+    parted = "part" in examples.columns
+    part = F.col("part").cast("long") if parted else F.lit(0).cast("long")
+    rows = scratch.save(examples.select(F.col("example_id").cast("long").alias("example_id"), part.alias("part"), "turns"), "examples")
     groups = max(1, -(-rows.count() // group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, turns = batch.column(1).to_pylist(), batch.column(2)
+            ids, parts_, turns = (batch.column(k).to_pylist() for k in (1, 2, 3))
             out = []
-            for i, (e, t) in enumerate(zip(ids, turns.to_pylist())):
-                pieces_ = cut([(x["n"] or 0, bool(x["scored"])) for x in t or [] if x], limits)
+            for i, (e, part_, t) in enumerate(zip(ids, parts_, turns)):
                 start = 0
-                for k, (n, loss) in enumerate(pieces_):
-                    out.append((batch.column(0)[i].as_py(), e, k, start, n, loss))
+                for k, (n, loss) in enumerate(cut([(x["n"] or 0, bool(x["scored"])) for x in t or [] if x], limits)):
+                    out.append((batch.column(0)[i].as_py(), e, part_, k, start, n, loss))
                     start += n
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["grp", "example_id", "piece", "start", "n_tokens", "n_loss"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["grp", "example_id", "part", "piece", "start", "n_tokens", "n_loss"])
 
-    spread = F.pmod(F.xxhash64(F.coalesce("example_id", F.lit(-1))), F.lit(groups)).cast("long")
-    pieces_ = rows.select(spread.alias("grp"), "example_id", "turns").mapInArrow(run, "grp long, example_id long, piece int, start long, n_tokens long, n_loss long")
+    spread = F.pmod(F.xxhash64("example_id", "part", "turns"), F.lit(groups)).cast("long")
+    pieces_ = rows.select(spread.alias("grp"), "example_id", "part", "turns").mapInArrow(run, "grp long, example_id long, part long, piece int, start long, n_tokens long, n_loss long")
+    if parted:
+        pieces_ = _after_earlier_parts(scratch.save(pieces_, "pieces"))
+    pieces_ = pieces_.drop("part")
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["example_id", "piece", "n_tokens", "n_loss"], kind="stable", na_position="last").reset_index(drop=True)
@@ -141,11 +160,20 @@ def tokens_of_conversations(conversations: DataFrame, path: str = TOKENIZER) ->
 
 
 def examples_of_conversations(conversations: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """An example for each conversation: its turns in order with their token counts; those of the assistant bear loss. Turns of one number are ordered by their count; a null or empty text has no tokens, a null role bears no loss, a null turn comes first, and rows without an id are one conversation."""
+    """(example_id, part, turns): the conversations' turns in order with their token counts; those of the assistant bear loss.
+
+    Turns are parted at each multiple of 4,096 of their number, so a conversation of any number of turns is rows of bounded
+    length. Turns of one number are ordered by their count; a null or empty text has no tokens, a null role bears no loss, a
+    null turn is the first of part 0, and a row without an id is a conversation of its own.
+    """
     slim = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     scored = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    turns = F.array_sort(F.collect_list(F.struct("turn", "n", scored.alias("scored"))))
-    return counted(slim, path).groupBy("conv_id").agg(turns.alias("t")).select(F.col("conv_id").alias("example_id"), F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["scored"].alias("scored"))).alias("turns"))
+    own = counted(slim.where("conv_id is not null"), path).withColumn("part", F.shiftright(F.coalesce("turn", F.lit(0)), TURN_BITS))
+    held = own.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "n", scored.alias("scored")))).alias("t"))
+    held = held.select(F.col("conv_id").alias("example_id"), "part", F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["scored"].alias("scored"))).alias("turns"))
+    # Rows without an id have no order among them: their parts only spread them over groups.
+    lone = counted(slim.where("conv_id is null").withColumn("part", F.xxhash64("turn", "role", "text")), path)
+    return held.unionByName(lone.select(F.col("conv_id").alias("example_id"), "part", F.array(F.struct("n", scored.alias("scored"))).alias("turns")))
 
 
 def examples_of_documents(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -35,7 +35,10 @@ def test_against_plain_loop():
 def test_limits_hold_and_nothing_is_lost(spark):
     conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     examples = packing.examples_of_conversations(conv)
-    want = {r.example_id: (sum(x.n for x in r.turns), sum(x.n for x in r.turns if x.scored)) for r in examples.collect()}
+    want = {}
+    for r in examples.collect():
+        n, loss = want.get(r.example_id, (0, 0))
+        want[r.example_id] = (n + sum(x.n for x in r.turns), loss + sum(x.n for x in r.turns if x.scored))
     limits = (1500, 4, 500)
     rows = packing.packed(examples, limits, 40).collect()
     bins, got = {}, {}
@@ -74,6 +77,28 @@ def test_edge_cases(spark):
     assert sorted((r.example_id, r.n_tokens, r.n_loss) for r in packing.packed(packing.examples_of_documents(docs)).collect()) == [(1, 3, 3), (2, 1, 1), (2, 1, 1)]
 
 
+def test_a_conversation_with_a_third_of_all_turns_is_spread(spark):
+    rows = [(7, k, "assistant" if k % 2 else "user", "word " * (k % 5)) for k in range(10_000)]
+    rows += [(100 + k % 5000, k // 5000, "user", "some words") for k in range(10_000)] + [(None, 0, "assistant", "word " * (k % 9)) for k in range(10_000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = packing.examples_of_conversations(conv).cache()
+    assert examples.where("example_id = 7").count() == 3
+    assert max(len(r.turns) for r in examples.collect()) <= 4096
+    limits = (40, 6, 25)
+    got = packing.packed(examples, limits, 500).collect()
+    hot = sorted((r for r in got if r.example_id == 7), key=lambda r: r.piece)
+    assert [r.piece for r in hot] == list(range(len(hot)))
+    want = []
+    for r in sorted(examples.where("example_id = 7").collect(), key=lambda r: r.part):
+        want += packing.cut([(x.n, x.scored) for x in r.turns], limits)
+    assert [(r.n_tokens, r.n_loss) for r in hot] == want
+    assert [r.start for r in hot] == [sum(n for n, _ in want[:k]) for k in range(len(want))]
+    lone = [r for r in got if r.example_id is None]
+    assert len({r.bin_id.split("-")[0] for r in lone}) > 1 and all(r.start == 0 and r.piece == 0 for r in lone)
+    total = {r.example_id: sum(x.n for x in r.turns) for r in examples.where("example_id >= 100").collect()}
+    assert {r.example_id: r.n_tokens for r in got if (r.example_id or 0) >= 100} == total
+
+
 def test_sequences_hold_every_token_of_every_conversation(spark):
     conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     limits = (700, 4, 300)
