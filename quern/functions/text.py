@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +105,21 @@ def word_count_sql(c: str) -> str:
     return rf"coalesce(len(list_filter(regexp_split_to_array(coalesce({c}, ''), '[{BLANK}]+'), x -> x <> '')), 0)::BIGINT"
 
 
+#: Bytes of texts, or ids, that a Python worker makes objects of at once.
+AT_ONCE = 1 << 18
+
+
+def slices(batches: Iterator[pa.Array]) -> Iterator[list]:
+    """The values of Arrow batches of texts or lists as Python objects, as many neighbours at a time as hold AT_ONCE together, and a larger one alone. An encoded token takes some hundred bytes, so a whole batch of 10,000 texts takes gigabytes."""
+    for batch in batches:
+        length = pc.list_value_length(batch) if pa.types.is_list(batch.type) else pc.binary_length(batch)
+        ends, at = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            yield batch.slice(at, end - at).to_pylist()
+            at = end
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normal form, which has no built-in expression."""

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import slices
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks of the chat template; as tokens of their own they take the ids after the vocabulary's.
@@ -30,6 +35,12 @@ def load(path: str, marks: tuple[str, ...] = ()):
     return t
 
 
+def _worker(path: str, marks: tuple[str, ...]):
+    """load() for a Python worker: its task has one core, and each thread of the library's own keeps memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return load(path, marks)
+
+
 def mark_ids(path: str = TOKENIZER, marks: tuple[str, ...] = MARKS) -> dict[str, int]:
     t = load(path, marks)
     return {m: t.token_to_id(m) for m in marks}
@@ -61,10 +72,11 @@ def answer_ids(letters: list[str], cue: str, path: str = TOKENIZER) -> list[int]
 
 
 def encode(c: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        found = load(path, marks).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([e.ids if ok else None for e, ok in zip(found, s.notna())], dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            found = _worker(path, marks).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            yield pa.array([None if t is None else e.ids for e, t in zip(found, texts)], pa.list_(pa.int32()))
 
     return run(c)
 
@@ -81,9 +93,10 @@ def encode_with_offsets(c: Column, path: str = TOKENIZER, marks: tuple[str, ...]
 
 
 def decode(ids: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(load(path, marks).decode_batch([[] if x is None else list(x) for x in s], skip_special_tokens=False))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in slices(batches):
+            yield pa.array(_worker(path, marks).decode_batch([x or [] for x in ids], skip_special_tokens=False), pa.string())
 
     return run(ids)
 
