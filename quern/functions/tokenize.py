@@ -111,10 +111,11 @@ def _pieces(path: str):
 def encode_pieces(c: Column, path: str = PIECES) -> Column:
     """Ids by a vocabulary of pieces over the compatibility normal form, with blanks as marks and bytes for what it lacks."""
 
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        found = _pieces(path).encode(s.fillna("").tolist(), num_threads=1)
-        return pd.Series([ids if ok else None for ids, ok in zip(found, s.notna())], dtype=object)
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            found = _pieces(path).encode([t or "" for t in texts], num_threads=1)
+            yield pa.array([None if t is None else ids for ids, t in zip(found, texts)], pa.list_(pa.int32()))
 
     return run(c)
 

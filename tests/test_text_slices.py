@@ -69,3 +69,12 @@ def test_encoding_in_slices_gives_the_ids_of_whole_batches(texts):
 
 def test_encoding_takes_no_more_memory_for_a_full_batch(long_batch):
     assert grown_mb(long_batch.select(tk.encode(F.col("t")))) < 500
+
+
+def test_pieces_in_slices_give_the_ids_of_whole_batches(texts):
+    found = tk._pieces(tk.PIECES)
+    assert collected(texts.select("i", tk.encode_pieces(F.col("t")).alias("x"))) == [None if t is None else found.encode(t) for t in TEXTS]
+
+
+def test_pieces_take_no_more_memory_for_a_full_batch(long_batch):
+    assert grown_mb(long_batch.select(tk.encode_pieces(F.col("t")))) < 300
