@@ -185,9 +185,10 @@ def tok_piece_encode(spark, sf_dir):
 @register("tok_piece_compression")
 def tok_piece_compression(spark, sf_dir):
     """Characters for each token, of every language."""
-    from ..functions.tokenize import encode_pieces
+    from ..functions.tokenize import count_pieces
 
-    d = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"), F.size(encode_pieces(F.col("text"))).alias("n")).where("n >= 0")
+    # A condition on the count would be pushed down, and every text encoded twice.
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("lang", F.length("text").alias("c"), count_pieces(F.col("text")).alias("n"))
     return d.groupBy("lang").agg(F.sum("c").cast("long").alias("n_chars"), (F.sum("c") / F.greatest(F.sum("n"), F.lit(1))).alias("chars_per_token"))
 
 

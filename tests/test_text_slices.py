@@ -78,3 +78,19 @@ def test_pieces_in_slices_give_the_ids_of_whole_batches(texts):
 
 def test_pieces_take_no_more_memory_for_a_full_batch(long_batch):
     assert grown_mb(long_batch.select(tk.encode_pieces(F.col("t")))) < 300
+
+
+def test_compression_encodes_each_text_once_and_leaves_null_texts_out(spark, tmp_path, capsys):
+    rows = [("a", "ab cd"), ("a", None), ("a", ""), ("b", None), (None, "ﬁ 崝"), (None, "x" * 5000), ("c", "")]
+    spark.createDataFrame(rows, "lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    from quern import plans
+
+    q, found = plans.queries()["tok_piece_compression"](spark, str(tmp_path)), tk._pieces(tk.PIECES)
+    q.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    want = {}
+    for lang, text in rows:
+        if text is not None:
+            n, ids = want.get(lang, (0, 0))
+            want[lang] = n + len(text), ids + len(found.encode(text))
+    assert {r.lang: (r.n_chars, r.chars_per_token) for r in q.collect()} == {k: (n, n / max(ids, 1)) for k, (n, ids) in want.items()}
