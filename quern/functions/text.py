@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -120,9 +119,10 @@ def slices(batches: Iterator[pa.Array]) -> Iterator[list]:
             at = end
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Compatibility normal form, which has no built-in expression."""
     import unicodedata
 
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+    for texts in slices(batches):
+        yield pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())

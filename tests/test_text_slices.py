@@ -94,3 +94,14 @@ def test_compression_encodes_each_text_once_and_leaves_null_texts_out(spark, tmp
             n, ids = want.get(lang, (0, 0))
             want[lang] = n + len(text), ids + len(found.encode(text))
     assert {r.lang: (r.n_chars, r.chars_per_token) for r in q.collect()} == {k: (n, n / max(ids, 1)) for k, (n, ids) in want.items()}
+
+
+def test_normal_form_in_slices(texts):
+    import unicodedata
+
+    assert collected(texts.select("i", tx.nfkc("t").alias("x"))) == [t if t is None else unicodedata.normalize("NFKC", t) for t in TEXTS]
+
+
+def test_normal_form_takes_no_more_memory_for_a_full_batch(spark):
+    long = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("ﬁ 崝 efg "), 700).alias("t"))
+    assert grown_mb(long.select(tx.nfkc("t"))) < 300
