@@ -8,7 +8,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,10 +83,13 @@ def encode(c: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Col
 def encode_with_offsets(c: Column, path: str = TOKENIZER, marks: tuple[str, ...] = ()) -> Column:
     """Ids and the characters [a, b) that each stands for."""
 
-    @F.pandas_udf("ids array<int>, a array<int>, b array<int>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        found = load(path, marks).encode_batch(s.fillna("").tolist(), add_special_tokens=False)
-        return pd.DataFrame({"ids": [e.ids for e in found], "a": [[x for x, _ in e.offsets] for e in found], "b": [[y for _, y in e.offsets] for e in found]})
+    @F.arrow_udf("ids array<int>, a array<int>, b array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            found = _worker(path, marks).encode_batch([t or "" for t in texts], add_special_tokens=False)
+            offsets = [e.offsets for e in found]
+            lists = [e.ids for e in found], [[x for x, _ in o] for o in offsets], [[y for _, y in o] for o in offsets]
+            yield pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in lists], ["ids", "a", "b"])
 
     return run(c)
 
@@ -135,9 +137,11 @@ def count_pieces(c: Column, path: str = PIECES) -> Column:
 def owner_spans(c: Column) -> Column:
     """Characters [a, b) of each of the owner's replies, from behind its label to the end of its closing mark, in a rendered conversation."""
 
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"a": m.start(1), "b": m.end(2)} for m in OWNER_TURN.finditer(t or "")])
+    @F.arrow_udf("array<struct<a:int,b:int>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in slices(batches):
+            found = [[{"a": m.start(1), "b": m.end(2)} for m in OWNER_TURN.finditer(t or "")] for t in texts]
+            yield pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
     return run(c)
 

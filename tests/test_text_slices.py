@@ -105,3 +105,19 @@ def test_normal_form_in_slices(texts):
 def test_normal_form_takes_no_more_memory_for_a_full_batch(spark):
     long = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("ﬁ 崝 efg "), 700).alias("t"))
     assert grown_mb(long.select(tx.nfkc("t"))) < 300
+
+
+def test_offsets_and_spans_in_slices_are_those_of_whole_batches(spark):
+    load = tk.load(tk.TOKENIZER, tk.MARKS)
+    said = [None, "", *[f"<s><|conv|><|turn|>Ann: 崝 hello {i}<|end|><|turn|>ME: {'fine ' * (i % 50)}\n<|end|></s>" * 20 for i in range(300)], ""]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string").coalesce(1)
+    got = df.select("i", tk.encode_with_offsets(F.col("t"), marks=tk.MARKS).alias("e"), tk.owner_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert len(got) == len(said)
+    for r, t in zip(got, said):
+        want = load.encode(t or "", add_special_tokens=False)
+        assert (r.e.ids, list(zip(r.e.a, r.e.b))) == (want.ids, want.offsets)
+        assert [(x.a, x.b) for x in r.s] == [(m.start(1), m.end(2)) for m in tk.OWNER_TURN.finditer(t or "")]
+
+
+def test_offsets_take_no_more_memory_for_a_full_batch(long_batch):
+    assert grown_mb(long_batch.select(tk.encode_with_offsets(F.col("t")))) < 500
